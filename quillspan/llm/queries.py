@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, toxicity
+from . import language, quality, substring, toxicity
 from .sample import remainder
 
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +33,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS key
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+), low AS (SELECT key, min(doc_id) AS least FROM win GROUP BY key),
+bad AS (SELECT DISTINCT doc_id, i FROM win JOIN low USING (key) WHERE win.doc_id > least),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM bad),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda p: ps IS NULL OR NOT list_contains(ps, p)), lambda p: ws[p]), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -34,5 +62,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op6_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op6_toxicity)}
\ No newline at end of file

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, substring, toxicity
+from . import language, neardup, quality, substring, toxicity
 from .sample import remainder
 
 
@@ -62,4 +62,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op6_toxicity)}
\ No newline at end of file
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+ORACLES["op8_minhash_neardup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) = 1 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), sizes AS (SELECT doc_id, len(sh) AS n FROM sets),
+el AS (SELECT doc_id, unnest(sh) AS s FROM sets),
+inter AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM el a JOIN el b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT u, v FROM inter JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)
+), both_ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT reach.doc_id, both_ways.v FROM reach JOIN both_ways ON reach.other = both_ways.u)
+SELECT sizes.doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(other) AS component_id, sizes.doc_id = min(other) AS kept
+FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id
+"""
+
+
+QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op6_toxicity, op8_minhash_neardup)}
\ No newline at end of file

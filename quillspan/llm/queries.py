@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, quality, substring, toxicity
+from . import language, media, neardup, quality, substring, token_counts, toxicity
 from .sample import remainder
 
 
@@ -86,4 +87,18 @@ FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id
 """
 
 
-QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op6_toxicity, op8_minhash_neardup)}
\ No newline at end of file
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = media.stored(table(spark, sf_dir, "documents"))
+    known = media.described(store)
+    page = F.concat(F.lit('<figure><img alt="payload" src="sha256:'), "digest", F.lit('"><figcaption>'), F.coalesce(F.col("n_bytes").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    pages = media.interleaved(store.select("doc_id", page.alias("html")))
+    found = media.resolved(pages, known, "doc_id")
+    return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op6_toxicity, op8_minhash_neardup, op9_media_columns, op10_token_counts)}
\ No newline at end of file

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, neardup, quality, substring, token_counts, toxicity
+from . import language, media, mixing, neardup, quality, substring, token_counts, toxicity
 from .sample import remainder
 
 
@@ -56,6 +56,11 @@ FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
 """
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -101,4 +106,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op6_toxicity, op8_minhash_neardup, op9_media_columns, op10_token_counts)}
\ No newline at end of file
+QUERIES |= {f.__name__: f for f in (op1_quality_classifier, op3_language_id, op4_substring_dedup, op5_source_mixing, op6_toxicity, op8_minhash_neardup, op9_media_columns, op10_token_counts)}
\ No newline at end of file

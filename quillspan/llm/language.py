@@ -99,47 +99,44 @@ class Model:
     deviation: np.ndarray | None = None
 
 
-def _hash_of(grams: list[str], n: int) -> np.ndarray:
-    points = np.array([[ord(c) for c in g] for g in grams], np.uint32).reshape(len(grams), n)
+def _hash_of(points: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams given as rows of code points, as ``_keys`` has them."""
+    n = points.shape[1]
     value = points[:, n - 1].astype(np.uint64)
     for k in range(2, n + 1):
-        value = points[:, n - k].astype(np.uint64) * np.uint64(pow(0x100000001B3, k - 1, 1 << 64)) + value
-    return mix(value + np.uint64((1 if n == 1 else n) << 40))
+        value += points[:, n - k].astype(np.uint64) * np.uint64(pow(0x100000001B3, k - 1, 1 << 64))
+    return mix(value + np.uint64(n << 40))
 
 
-def build(tables: list[list[tuple[str, list[int]]]], langs: list[str]) -> Model:
-    """The models from modified counts; tables[n - 1] holds (n-gram, count by language)."""
+def build(tables: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
+    """The models from modified counts; tables[n - 1] holds n-grams (rows of code points) and their counts by language."""
     model = Model(langs)
-    lower: dict[str, np.ndarray] = {}
-    size = max(len(tables[0]), 1)
-    for n, table in enumerate(tables, 1):
-        if not table:
+    lower: tuple[np.ndarray, np.ndarray] | None = None
+    size = max(len(tables[0][0]), 1)
+    model.floor = float(np.log(1 / (size + 1))) - 3
+    for n, (points, count) in enumerate(tables, 1):
+        if not len(points):
             break
-        grams = [g for g, _ in table]
-        count = np.array([c for _, c in table], float).reshape(len(grams), len(langs))
-        names: dict[str, int] = {}
-        of = np.array([names.setdefault(g[:-1], len(names)) for g in grams])
-        total = np.zeros((len(names), len(langs)))
-        types = np.zeros_like(total)
-        np.add.at(total, of, count)
-        np.add.at(types, of, count > 0)
+        names, of = np.unique(_hash_of(points[:, :-1]) if n > 1 else np.zeros(len(points), np.uint64), return_inverse=True)
+        columns = range(len(langs))
+        total = np.stack([np.bincount(of, count[:, j], len(names)) for j in columns], 1)
+        types = np.stack([np.bincount(of, count[:, j] > 0, len(names)) for j in columns], 1)
         ones, twos = (count == 1).sum(0), (count == 2).sum(0)
         discount = np.where(ones + 2 * twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5).clip(0.1, 0.95)
         gamma = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
-        if n == 1:
-            below = np.full(count.shape, 1 / (size + 1))
-            model.floor = float(np.log(1 / (size + 1))) - 3
-        else:
-            below = np.stack([lower[g[1:]] for g in grams])
+        below = np.full(count.shape, 1 / (size + 1))
+        if lower is not None:
+            at, hit = _find(lower[0], _hash_of(points[:, 1:]))
+            below[hit] = lower[1][at[hit]]
         p = np.maximum(count - discount, 0) / np.maximum(total[of], 1) + gamma[of] * below
-        lower = dict(zip(grams, p, strict=True))
-        order = np.argsort(key := _hash_of(grams, n))
-        model.grams.append(key[order])
-        model.logp.append(np.log(np.maximum(p, 1e-12)).astype(np.float32)[order])
+        key = _hash_of(points)
+        order = np.argsort(key)
+        lower = (key[order], p[order])
+        model.grams.append(lower[0])
+        model.logp.append(np.log(np.maximum(lower[1], 1e-12)).astype(np.float32))
         if n > 1:
-            order = np.argsort(key := _hash_of(list(names), n - 1))
-            model.contexts.append(key[order])
-            model.backoff.append(np.log(np.maximum(gamma, 1e-12)).astype(np.float32)[order])
+            model.contexts.append(names)
+            model.backoff.append(np.log(np.maximum(gamma, 1e-12)).astype(np.float32))
     return model
 
 
@@ -187,23 +184,27 @@ def train(docs: DataFrame) -> Model:
         return Model([])
     cols = [f"c{i}" for i in range(len(langs))]
     wide = full.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for c, x in zip(cols, langs, strict=True)])
-    tables = [_top(wide, cols)]
-    for _ in range(ORDER - 1):
+    tables = [_top(wide, cols, ORDER)]
+    for n in range(ORDER - 1, 0, -1):
         # distinct predecessors: how many n-grams one character longer end in this one, by language
         wide = wide.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in cols])
-        tables.insert(0, _top(wide, cols, {g[1:] for g, _ in tables[0]}))
+        tables.insert(0, _top(wide, cols, n, tables[0][0]))
     model = build(tables, langs)
     picked = known.where("apart").withColumn("r", F.xxhash64("text")).orderBy("r", "lang").limit(CALIBRATION_ROWS).select("lang", "text").toArrow()
     _calibrate(model, picked["lang"].to_pylist(), picked["text"].to_pylist())
     return model
 
 
-def _top(wide: DataFrame, cols: list[str], needed: set[str] | None = None) -> list[tuple[str, list[int]]]:
+def _top(wide: DataFrame, cols: list[str], n: int, longer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams with the largest counts, and all that end those of ``longer``."""
     rows = wide.orderBy(F.desc(sum((F.col(c) for c in cols), F.lit(0))), "gram").limit(MAX_GRAMS).toArrow()
-    out = dict(zip(rows["gram"].to_pylist(), zip(*(rows[c].to_pylist() for c in cols), strict=True), strict=True))
-    for g in needed or ():
-        out.setdefault(g, (0,) * len(cols))
-    return sorted((g, list(c)) for g, c in out.items())
+    points = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+    count = np.stack([rows[c].to_numpy() for c in cols], 1).astype(float)
+    if longer is not None and len(longer):
+        ends = np.unique(longer[:, 1:], axis=0)
+        ends = ends[~np.isin(_hash_of(ends), _hash_of(points))]
+        points, count = np.concatenate([points, ends]), np.concatenate([count, np.zeros((len(ends), len(cols)))])
+    return points, count
 
 
 def _calibrate(model: Model, langs: list[str], texts: list[str]) -> None:

@@ -31,6 +31,8 @@ from .tokens import blocks, windows, words
 WIDTH = 13
 #: Bytes of text for each bucket.
 BUCKET = 8 << 20
+#: Bytes of text that settle their own repeats together; bounds a worker's memory.
+PART = 6 << 20
 _PACKED = "key long, settled boolean, docs binary, counts binary, hashes binary"
 
 
@@ -45,43 +47,51 @@ def _unpack(docs: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.n
 
 
 def _mapper(width: int, buckets: int):
+    def settle(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = batch["doc_id"].to_numpy().astype(np.int64)
+        value, place, doc = [], [], []
+        for b in blocks(batch["text"]):
+            w = words(b)
+            h, at = windows(w, width)
+            second, _ = windows(w, width, seed=1)
+            value.append(h)
+            place.append((second % np.uint64(buckets)).astype(np.int32))
+            doc.append(ids[b.lo : b.hi][w.doc[at]])
+        if not value or not sum(map(len, value)):
+            return
+        value, place, doc = map(np.concatenate, (value, place, doc))
+        # one sort brings equal windows together, the smallest doc_id first
+        order = np.argsort(value, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = (value[order[1:]] != value[order[:-1]]) | (place[order[1:]] != place[order[:-1]])
+        smallest = doc[order[new]][np.cumsum(new) - 1]
+        settled = np.sort(order[doc[order] > smallest])
+        rows = []
+        for part in np.array_split(settled, -(-len(settled) // 200_000) or 1):
+            if len(part):
+                rows.append((int(doc[part[0]]) % buckets, True, *_pack(doc[part], value[part])))
+        kept = np.sort(order[new])
+        del order, new, smallest
+        kept = kept[np.argsort(place[kept], kind="stable")]
+        cut = np.searchsorted(place[kept], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            own = kept[cut[k] : cut[k + 1]]
+            rows.append((int(k), False, *_pack(doc[own], value[own])))
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], names=["key", "settled", "docs", "counts", "hashes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.Table.from_batches([batch])
-            batch = batch.filter(pc.is_valid(batch["doc_id"])).sort_by("doc_id")
-            ids = batch["doc_id"].to_numpy().astype(np.int64)
-            value, place, doc = [], [], []
-            for b in blocks(batch["text"]):
-                w = words(b)
-                h, at = windows(w, width)
-                second, _ = windows(w, width, seed=1)
-                value.append(h)
-                place.append((second % np.uint64(buckets)).astype(np.int64))
-                doc.append(ids[b.lo : b.hi][w.doc[at]])
-            if not value or not sum(map(len, value)):
-                continue
-            value, place, doc = map(np.concatenate, (value, place, doc))
-            # one sort brings equal windows together, the smallest doc_id first
-            order = np.argsort(value, kind="stable")
-            v, p = value[order], place[order]
-            new = np.concatenate([[True], (v[1:] != v[:-1]) | (p[1:] != p[:-1])])
-            group = np.cumsum(new) - 1
-            smallest = doc[order][np.flatnonzero(new)][group]
-            later = doc[order] > smallest
-            rows = []
-            settled = np.sort(order[later])
-            for part in np.array_split(settled, -(-len(settled) // 200_000) or 1):
-                if len(part):
-                    rows.append((int(doc[part[0]]) % buckets, True, *_pack(doc[part], value[part])))
-            kept = np.sort(order[new])
-            by = np.argsort(place[kept], kind="stable")
-            kept = kept[by]
-            cut = np.searchsorted(place[kept], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)):
-                own = kept[cut[k] : cut[k + 1]]
-                rows.append((int(k), False, *_pack(doc[own], value[own])))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["key", "settled", "docs", "counts", "hashes"])
+            whole = pa.Table.from_batches([batch])
+            whole = whole.filter(pc.is_valid(whole["doc_id"])).sort_by("doc_id")
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < len(whole):  # documents in order of their ids, so many that they hold about PART bytes
+                start = sizes[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, start + PART, "right")))
+                yield from settle(whole.slice(lo, hi - lo))
+                lo = hi
 
     return run
 

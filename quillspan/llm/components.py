@@ -34,32 +34,33 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[top[own]], pa.int64())], names=["u", "v"])
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: larger neighbours move to the smallest one. Small star: smaller ones and the node do."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-minima")
-    seen = both.join(least, "u")
-    if large:
-        out = seen.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+def _climbed(edges: DataFrame) -> DataFrame:
+    """Each node's edges to smaller ones become one edge to the smallest, and edges among the others and it.
+
+    Rows are grouped by the larger node, which after the forests has at most as many edges as
+    there were batches: a hub, being the smaller node, never gathers its edges.
+    """
+    up = edges.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    pairs = F.transform("vs", lambda v, i: F.struct(F.when(i == 0, F.col("u")).otherwise(v).alias("u"), F.get("vs", F.lit(0)).alias("v")))
+    return up.select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of ``edges`` (u, v), the smallest node it is connected with.
 
-    Nulls and loops are ignored. Each round is a written table; a hub's edges are summed
-    before they are shuffled, and the joins on a hub can be split at run time.
+    Nulls and loops are ignored. First every node gets one parent, a smaller one, which merges
+    trees; then parents are replaced by their parents until all are roots. Rounds are cut by
+    written tables, and both sides of the joins are such tables, so that a hub can be split.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
-    state = None
+    edges = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    while edges.groupBy("u").count().where("count > 1").limit(1).count():
+        edges = written(_climbed(_climbed(edges)), "parents")
     while True:
-        edges = written(_stars(written(_stars(edges, True), "large-star"), False), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        above = edges.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        jumped = written(edges.join(above, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "jumped")
+        edges = jumped.select("u", "v")
+        if not jumped.where("moved").limit(1).count():
             break
-        state = now
     tops = edges.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
     return edges.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("component"))

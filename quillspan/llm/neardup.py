@@ -8,9 +8,8 @@ larger. ``BANDS`` bands of ``ROWS`` slots make candidates: at similarity 0.8 a p
 all of them with probability (1 - 0.8**6)**42 = 3e-6.
 
 Texts with equal sets are one class (128-bit digest), represented by their smallest doc_id.
-In a band's bucket, classes are compared with a leader instead of all with all; leaders differ
-between bands, so that members of one group meet several. Every comparison is on the full
-sets. Links make components; buckets whose classes still lie in several components are then
+In a band's bucket, classes are compared with a leader instead of all with all. Every
+comparison is on the full sets. Links make components; buckets whose classes still lie in several components are then
 compared across components - with new leaders while that is many pairs, at last exhaustively.
 So no link between different components is left unexamined, whatever the size of a bucket.
 
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,10 @@ from .tokens import blocks, mix, shingle_sets
 
 SLOTS, ROWS = 256, 6
 BANDS = SLOTS // ROWS
+#: Largest number of candidate ids that is broadcast.
+BROADCAST = 1 << 19
+#: Most rounds of new leaders before all that is left is compared.
+ROUNDS = 6
 _FULL = np.uint64((1 << 64) - 1)
 _U = np.uint64
 
@@ -101,87 +105,105 @@ def _signer(shingle: int):
     return run
 
 
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for b in blocks(batch.column("text")):
-                value, first = shingle_sets(b, shingle)
-                out += [value[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "elements"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed: a third of the size of their sets of hashes, which are made again where they meet."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["rep", "packed"])
 
 
-def _confirm(percent: int):
+def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+
+        def sets(column: pa.Array) -> list[np.ndarray]:
+            """The sets of a slice of packed texts, equal neighbours made once."""
+            raw = column.to_pylist()
+            distinct = list(dict.fromkeys(raw))
+            made: dict[bytes, np.ndarray] = {}
+            for b in blocks(pa.array([unpack.decompress(x).decode() for x in distinct], pa.string())):
+                value, first = shingle_sets(b, shingle)
+                made |= {distinct[b.lo + k]: value[first[k] : first[k + 1]] for k in range(b.hi - b.lo)}
+            return [made[x] for x in raw]
+
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ok = []
+                for x, y in zip(sets(part.column("x")), sets(part.column("y")), strict=True):
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are as similar as asked."""
-    with_v = pairs.join(sets.select(F.col("rep").alias("v"), F.col("elements").alias("y")), "v")
-    with_both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("elements").alias("x")), "u")
-    return with_both.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long").distinct()
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are as similar as asked; the larger id's text travels to the smaller's."""
+    with_v = pairs.join(texts.select(F.col("rep").alias("v"), F.col("packed").alias("y")), "v")
+    with_both = with_v.join(texts.select(F.col("rep").alias("u"), F.col("packed").alias("x")), "u")
+    return with_both.select("u", "v", "x", "y").mapInArrow(_confirm(shingle, percent), "u long, v long").distinct()
 
 
-def _pairs_with_leaders(members: DataFrame, salt: int, percent: int, own: str) -> DataFrame:
-    """Each class with its bucket's leader, where their parts ``own`` differ and their sizes allow a link."""
-    choice = F.struct(F.xxhash64("rep", F.pmod("band", F.lit(3)), F.lit(salt)).alias("h"), F.col("rep"), F.col("n"), F.col(own).alias("own"))
-    leaders = written(members.groupBy("band").agg(F.min(choice).alias("lead"), F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("band", "lead"), "leaders")
+def _pairs_with_leaders(members: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Each class with its bucket's leader, where their parts differ and their sizes allow a link."""
+    choice = F.struct(F.xxhash64("rep", F.lit(salt)).alias("h"), "rep", "n", "part")
+    leaders = written(members.groupBy("band").agg(F.min(choice).alias("lead"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band", "lead"), "leaders")
     near = F.expr(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
-    met = members.join(leaders, "band").where((F.col(own) != F.col("lead.own")) & near)
+    met = members.join(leaders, "band").where((F.col("part") != F.col("lead.part")) & near)
     return met.select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v")).distinct()
 
 
+def _pairs_across(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket that lie in different parts, each made in the first band it shares only."""
+    own = members.join(marks, "rep").select("band", "place", "rep", "n", "part", "marks")
+    other = own.select("band", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("marks").alias("others"))
+    near = f"rep < v and part <> q and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    first = "not exists(sequence(1, place), i -> i < place and marks[i - 1] = others[i - 1])"
+    return own.join(other, "band").where(F.expr(f"{near} and {first}")).select(F.col("rep").alias("u"), "v")
+
+
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = written(docs.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    heads = real.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands")
+    reps = heads.select("rep", "n", F.posexplode("bands").alias("place", "band"))
     shared = reps.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("band")
-    members = written(reps.join(shared, "band"), "band-members")
-
-    first = written(_pairs_with_leaders(members, 0, percent, "rep"), "pairs")
-    wanted = members.select("rep").distinct()
-    sets = written(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle), "rep long, elements binary"), "sets")
-    links = written(_verified(first, sets, percent), "links")
-    parts = written(components(links), "parts")
-    tried = 0
+    members = written(reps.join(shared, "band").select("band", (F.col("place") + 1).alias("place"), "rep", "n", F.col("rep").alias("part")), "band-members")
+
+    wanted = written(members.select("rep").distinct(), "candidates")
+    few = wanted.count() <= BROADCAST
+    wanted = F.broadcast(wanted) if few else wanted
+    texts = written(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(_packed, "rep long, packed binary"), "candidate-texts")
+    first = written(_pairs_with_leaders(members, 0, percent), "pairs")
+    links = written(_verified(first, texts, shingle, percent), "links")
+    parts, tried = written(components(links), "parts"), 0
     while True:
         tried += 1
-        placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-        split = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("band")
-        split = written(split, "split-buckets")
-        placed = written(placed.join(split, "band"), "split-members")
-        counts = placed.groupBy("band", "part").count().groupBy("band").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        left = counts.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
+        placed = members.drop("part").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+        counts = placed.groupBy("band", "part").count().groupBy("band").agg(F.count("*").alias("k"), F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        # a bucket of two has been settled by its leader
+        split = written(counts.where("k > 1 and s > 2"), "split-buckets")
+        left = split.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
         if not left["pairs"]:
             break
-        last = left["pairs"] <= 8 * left["rows"] or tried > 8
+        placed = written(placed.join(split.select("band"), "band"), "split-members")
+        last = left["pairs"] <= 16 * left["rows"] or tried > ROUNDS
         if last:
-            other = placed.select("band", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("part").alias("q"))
-            near = F.expr(f"u < v and part <> q and 100 * least(n, m) >= {percent} * greatest(n, m)")
-            more = placed.withColumnRenamed("rep", "u").join(other, "band").where(near).select("u", "v").distinct()
+            marks = signed.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"), "left_semi").join(classes, "digest").where("doc_id = rep").select("rep", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks"))
+            more = _pairs_across(placed, marks, percent)
         else:
-            more = _pairs_with_leaders(placed, tried, percent, "part")
-        more = written(more.join(first, ["u", "v"], "left_anti"), "more-pairs")
+            more = _pairs_with_leaders(placed, tried, percent)
+        more = written(more.join(first, ["u", "v"], "left_anti").distinct(), "more-pairs")
         first = first.unionByName(more)
-        fresh = written(_verified(more, sets, percent), "links")
-        links = links.unionByName(fresh)
+        fresh = written(_verified(more, texts, shingle, percent), "links")
         if not fresh.isEmpty():
+            links = links.unionByName(fresh)
             parts = written(components(links), "parts")
         if last:
             break

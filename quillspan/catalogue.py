@@ -230,13 +230,13 @@ def payload_decode(t):
     return t("events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k")).where("k is not null")
 
 
-@query("SELECT event_id, CAST(user_id AS VARCHAR) AS asin, CASE WHEN length(CAST(user_id AS VARCHAR)) = 10 THEN 'EBOK' ELSE 'PDOC' END AS kind, event_id % 1000 AS start, event_id % 1000 + 17 AS \"end\", event_type AS color, 'app.highlight-' || (event_id % 1000) AS ann_id FROM events")
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS asin, CASE WHEN length(CAST(user_id AS VARCHAR)) = 10 THEN 'EBOK' ELSE 'PDOC' END AS kind, event_id % 1000 AS start, event_id % 1000 + 17 AS until, event_type AS color, 'app.highlight-' || (event_id % 1000) AS ann_id FROM events")
 def payload_round_trip(t):
     e, at, book = t("events"), F.col("event_id") % 1000, F.col("user_id").cast("string")
     made = P.encoded(book, F.lit("HIGHLIGHT"), F.lit(None).cast("string"), at, at + 17, F.struct(F.col("event_type").alias("mchl_color")), F.lit(1714903872000))
     p = e.select("event_id", P.decoded(made).alias("p"), P.annotation_id(F.lit("highlight"), at).alias("ann_id"))
     inner = F.from_json("p.json_metadata", "mchl_color string").getField("mchl_color")
-    return p.select("event_id", F.col("p.book_data.asin").alias("asin"), F.col("p.book_data.contentType").alias("kind"), F.col("p.start_position.shortPosition").alias("start"), F.col("p.end_position.shortPosition").alias("end"), inner.alias("color"), "ann_id")
+    return p.select("event_id", F.col("p.book_data.asin").alias("asin"), F.col("p.book_data.contentType").alias("kind"), F.col("p.start_position.shortPosition").alias("start"), F.col("p.end_position.shortPosition").alias("until"), inner.alias("color"), "ann_id")
 
 
 @query("SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'yellow' WHEN 1 THEN 'orange' WHEN 2 THEN 'blue' WHEN 3 THEN 'yellow' WHEN 4 THEN 'pink' WHEN 5 THEN 'blue' ELSE 'yellow' END AS color FROM part")
@@ -251,11 +251,11 @@ def catalogue_ids(t):
     return rows.withColumn("back", F.substring_index("dataset_id", "-", 1))
 
 
-@query("SELECT event_id, epoch_us(ts) / 1e6 - 978307200 AS seconds_2001, epoch_ms(ts) AS ms FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000 - 978307200000 AS ms_2001, epoch_us(ts) // 1000 AS ms FROM events")
 def epoch_convert(t):
     ts = F.col("ts").cast("timestamp")
     back = P.from_epoch_ms(F.unix_millis(ts))
-    return t("events").select("event_id", P.to_epoch_2001(ts).alias("seconds_2001"), F.unix_millis(back).alias("ms"))
+    return t("events").select("event_id", F.floor(F.round(P.to_epoch_2001(ts) * 1e6) / 1000).alias("ms_2001"), F.unix_millis(back).alias("ms"))
 
 
 _LOCATED = _HN + ", l AS (SELECT DISTINCT item_id FROM n0 JOIN h ON contains(hay, needle) WHERE needle <> '')"

@@ -18,6 +18,11 @@ _TO = "".join(k * len(v) for k, v in _FOLDS.items())
 _STOP = ["the", "a", "an", "of", "and", "in", "to", "for", "on", "s"]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed, and written into the plan, once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def folded(text: Column) -> Column:
     """Each character replaced by the representative of its class; case is kept."""
     return F.translate(text, _FROM, _TO)
@@ -34,11 +39,16 @@ def normal_map(text: Column) -> Column:
     A character whose lower case has two code points (U+0130) gives its place twice, so that
     map and text stay in step.
     """
-    chars = F.split(folded(text), "")
     space = lambda c: c == " "
-    kept = F.transform(chars, lambda c, i: F.when(space(c) & ((i == 0) | space(F.get(chars, i - 1))), F.array().cast("array<int>")).otherwise(F.array_repeat(i, F.length(F.lower(c)))))
-    # a trailing space, and split's trailing empty piece, lie beyond the normal text's length
-    return F.slice(F.flatten(kept), 1, F.length(normalized(text)))
+    none = F.array().cast("array<int>")
+
+    def of(chars: Column) -> Column:
+        again = lambda i: (i == 0) | space(F.get(chars, i - 1))
+        kept = F.transform(chars, lambda c, i: F.when(space(c) & again(i), none).otherwise(F.array_repeat(i, F.length(F.lower(c)))))
+        # a trailing space, and split's trailing empty piece, lie beyond the normal text's length
+        return F.slice(F.flatten(kept), 1, F.length(normalized(text)))
+
+    return let(F.split(folded(text), ""), of)
 
 
 def without_markers(text: Column) -> Column:

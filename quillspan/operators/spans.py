@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import let
+
 STEP = "struct<index: int, assertion: string>"
 RUN = f"struct<steps: array<{STEP}>, text: string, doc_start: int>"
 
@@ -25,11 +27,6 @@ def text_between(chars: Column, positions: Column, start: Column, end: Column) -
     return F.array_join(F.transform(F.filter(both, lambda x: x["p"].between(start, end)), lambda x: x["c"]), "")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed, and written into the plan, once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def run_at(runs: Column, offset: Column) -> Column:
     """The last run that begins at or before ``offset``, or the first run."""
     before = F.filter(runs, lambda r: r["doc_start"] <= offset)
@@ -39,7 +36,7 @@ def run_at(runs: Column, offset: Column) -> Column:
 def point(runs: Column, offset: Column, is_end: bool) -> Column:
     """(steps, place in the run) of a document offset; an end belongs to the run that it closes."""
     place = lambda run: F.struct(run["steps"].alias("steps"), F.greatest(F.lit(0), F.least(offset - run["doc_start"], F.length(run["text"]))).alias("at"))
-    return _let(run_at(runs, offset - 1 if is_end else offset), place)
+    return let(run_at(runs, offset - 1 if is_end else offset), place)
 
 
 def _path(steps: Column) -> Column:
@@ -55,13 +52,13 @@ def range_address(spine_step: Column, runs: Column, start: Column, end: Column)
         n = F.least(F.size(a["steps"]), F.size(b["steps"]))
         same = F.zip_with(F.slice(a["steps"], F.lit(1), n), F.slice(b["steps"], F.lit(1), n), lambda x, y: x.eqNullSafe(y))
         # how many leading steps agree: up to the first that differs
-        return _let(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n).cast("int"), lambda common: joined(a, b, common))
+        return let(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n).cast("int"), lambda common: joined(a, b, common))
 
     def joined(a: Column, b: Column, common: Column) -> Column:
         rest = lambda p: F.concat(_path(F.slice(p["steps"], common + 1, F.size(p["steps"]))), F.lit(":"), p["at"].cast("string"))
         return F.concat(F.lit("epubcfi("), spine_step, F.lit("!"), _path(F.slice(a["steps"], F.lit(1), common)), F.lit(","), rest(a), F.lit(","), rest(b), F.lit(")"))
 
-    return _let(F.struct(point(runs, start, False).alias("a"), point(runs, end, True).alias("b")), of_points)
+    return let(F.struct(point(runs, start, False).alias("a"), point(runs, end, True).alias("b")), of_points)
 
 
 def spine_index(address: Column) -> Column:

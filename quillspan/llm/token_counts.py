@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,21 +49,31 @@ class PieceCounter:
         self.whole = Tokenizer.from_str(content)
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.cut = regex.compile(steps[0]["pattern"]["Regex"])
-        bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": steps[1]}
+        # pre-tokens hold no white space, so many go to the library as one text, parted by spaces
+        parted = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [parted, steps[1]]}}
         self.piece = Tokenizer.from_str(json.dumps(bare))
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.unsure = regex.compile("[" + _unassigned() + "Σ]")
+        self.unsure = _unassigned()
         self.known = known or {}
         self.cache: dict[str, int] = {}
 
     def plain(self, text: str) -> bool:
-        return (text.isascii() or not self.unsure.search(text)) and not any(s in text for s in self.specials)
+        if any(s in text for s in self.specials):
+            return False
+        return text.isascii() or not self.unsure[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
 
     def pieces(self, text: str) -> list[str]:
         return self.cut.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
     def lengths(self, pieces: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.piece.encode_batch(pieces, add_special_tokens=False)]
+        """Each piece's number of tokens."""
+        out: list[int] = []
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            of = self.piece.encode(" ".join(part), add_special_tokens=False).word_ids
+            out += np.bincount(np.array(of, np.int64), minlength=len(part)).tolist()
+        return out
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -86,22 +97,15 @@ class PieceCounter:
         return sum(found)
 
 
-_ranges: list[str] = []
+_unsure: list[np.ndarray] = []
 
 
-def _unassigned() -> str:
-    """The code points without a meaning in this Python's Unicode, as ranges for a character class."""
-    if not _ranges:
-        out, start = [], None
-        for c in range(sys.maxunicode + 2):
-            odd = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-            if odd and start is None:
-                start = c
-            elif not odd and start is not None:
-                out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-        _ranges.append("".join(out))
-    return _ranges[0]
+def _unassigned() -> np.ndarray:
+    """For each code point, whether its treatment may differ: none in this Python's Unicode, or capital sigma."""
+    if not _unsure:
+        _unsure.append(np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]))
+        _unsure[0][ord("\u03a3")] = True
+    return _unsure[0]
 
 
 _workers: dict[int, PieceCounter] = {}

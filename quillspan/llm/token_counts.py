@@ -2,8 +2,8 @@
 
 A text is normalised and cut into pre-tokens as the vocabulary's own pipeline does; the count
 of a text is the sum of its pre-tokens' counts. Tier one is a compact broadcast table of
-frequent pre-tokens and their counts (at most ``FREQUENT``, found in ``SAMPLE`` documents; it
-only saves time and never changes a count). Tier two encodes what it lacks with the library
+frequent pre-tokens and their counts (at most ``FREQUENT``, found in ``SAMPLE`` documents of
+each of ``PARTS`` partitions; it only saves time and never changes a count). Tier two encodes what it lacks with the library
 and keeps the answers in a cache of each worker, bounded by ``CACHE`` entries. Nothing is
 shuffled but the sample's partial counts.
 
@@ -27,12 +27,13 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FREQUENT = 1 << 16
-SAMPLE = 2000
+PARTS, SAMPLE = 32, 100
 CACHE = 1 << 20
 #: Longer pre-tokens are encoded each time and not kept.
 LONGEST = 64
@@ -123,16 +124,20 @@ def _frequent(docs: DataFrame, content: str, text: str) -> tuple[str, bytes]:
     held = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = PieceCounter(held.value), Counter()
+        if TaskContext.get().partitionId() >= PARTS:
+            return
+        counter, seen, left = PieceCounter(held.value), Counter(), SAMPLE
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if counter.plain(t):
+            for t in batch.column(0).slice(0, left).to_pylist():
+                left -= 1
+                if t and counter.plain(t):
                     seen.update(p for p in counter.pieces(t) if len(p) <= LONGEST)
+            if not left:
+                break
         best = seen.most_common(FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
 
-    sample = docs.select(text).where(F.col(text).isNotNull()).limit(SAMPLE)
-    best = sample.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
+    best = docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     names = [r[0] for r in best.collect()]
     counter = PieceCounter(content)
     sizes = counter.lengths(names) if names else []

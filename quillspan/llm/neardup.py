@@ -9,9 +9,11 @@ all of them with probability (1 - 0.8**6)**42 = 3e-6.
 
 Texts with equal sets are one class (128-bit digest), represented by their smallest doc_id.
 In a band's bucket, classes are compared with a leader instead of all with all. Every
-comparison is on the full sets. Links make components; buckets whose classes still lie in several components are then
-compared across components - with new leaders while that is many pairs, at last exhaustively.
-So no link between different components is left unexamined, whatever the size of a bucket.
+comparison is on the full sets. Links make components; buckets whose classes still lie in several
+components are then compared across components - with new leaders while that leaves far fewer
+pairs, at last exhaustively, a bucket by pairs of chunks that hold at most about ``CHUNK`` classes
+and ``ELEMENTS`` elements each. So no link between different components is left unexamined,
+whatever the size of a bucket, no task gathers a whole bucket, and only links leave the workers.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; fewer
 words than a shingle's make one shingle; a null doc_id is linked with nothing and has a null
@@ -38,6 +40,10 @@ BANDS = SLOTS // ROWS
 BROADCAST = 1 << 19
 #: Most rounds of new leaders before all that is left is compared.
 ROUNDS = 6
+#: What is left is compared at once if it is at most so many pairs for each row of a bucket.
+PAIRS = 256
+#: Classes and elements of a bucket that are compared together with as many others.
+CHUNK, ELEMENTS = 256, 1 << 19
 _FULL = np.uint64((1 << 64) - 1)
 _U = np.uint64
 
@@ -112,25 +118,25 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["rep", "packed"])
 
 
+def _sets(column: pa.Array, shingle: int, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+    """The sets of packed texts, equal ones made once."""
+    raw = column.to_pylist()
+    distinct = list(dict.fromkeys(raw))
+    made: dict[bytes, np.ndarray] = {}
+    for b in blocks(pa.array([unpack.decompress(x).decode() for x in distinct], pa.string())):
+        value, first = shingle_sets(b, shingle)
+        made |= {distinct[b.lo + k]: value[first[k] : first[k + 1]] for k in range(b.hi - b.lo)}
+    return [made[x] for x in raw]
+
+
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-
-        def sets(column: pa.Array) -> list[np.ndarray]:
-            """The sets of a slice of packed texts, equal neighbours made once."""
-            raw = column.to_pylist()
-            distinct = list(dict.fromkeys(raw))
-            made: dict[bytes, np.ndarray] = {}
-            for b in blocks(pa.array([unpack.decompress(x).decode() for x in distinct], pa.string())):
-                value, first = shingle_sets(b, shingle)
-                made |= {distinct[b.lo + k]: value[first[k] : first[k + 1]] for k in range(b.hi - b.lo)}
-            return [made[x] for x in raw]
-
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ok = []
-                for x, y in zip(sets(part.column("x")), sets(part.column("y")), strict=True):
+                for x, y in zip(_sets(part.column("x"), shingle, unpack), _sets(part.column("y"), shingle, unpack), strict=True):
                     both = np.concatenate([x, y])
                     both.sort()
                     shared = int((both[1:] == both[:-1]).sum())
@@ -140,6 +146,74 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of all sets of different parts that are as similar as asked."""
+    size = np.array([len(x) for x in sets], np.int64)
+    near = 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
+    i, j = np.nonzero(np.triu(part[:, None] != part, 1) & near & (size > 0))
+    if not len(i):
+        return i, j
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count > 1
+    keep = common[element]
+    owner = np.repeat(np.arange(len(sets)), size)[keep]
+    column = (np.cumsum(common) - 1)[element[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    wide = min(1 << 12, max(1, int(common.sum())))
+    cut = np.searchsorted(column, np.arange(0, int(common.sum()) + wide, wide))
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):  # exact: counts stay far below 2**24
+        has = np.zeros((len(sets), wide), np.float32)
+        has[owner[a:b], column[a:b] - k * wide] = 1
+        shared += has @ has.T
+    n = shared[i, j].astype(np.int64)
+    ok = 100 * n >= percent * (size[i] + size[j] - n)
+    return i[ok], j[ok]
+
+
+_GROUP = ("band", "lo", "hi")
+
+
+def _compare(shingle: int, percent: int):
+    """Rows sorted by (band, lo, hi) to the links inside each such group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+
+        def links(table: pa.Table) -> pa.RecordBatch:
+            key = np.stack([table[c].to_numpy() for c in _GROUP])
+            rep, part = table["rep"].to_numpy(), table["part"].to_numpy()
+            edge = np.concatenate([[0], 1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)), [table.num_rows]])
+            found, lo = [np.zeros((2, 0), np.int64)], 0
+            while lo < len(edge) - 1:  # several groups together, so that their texts are handled in blocks
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
+                sets = _sets(table["packed"].slice(edge[lo], edge[hi] - edge[lo]).combine_chunks(), shingle, unpack)
+                for a, b in zip(edge[lo:hi], edge[lo + 1 : hi + 1], strict=True):
+                    i, j = linked(sets[a - edge[lo] : b - edge[lo]], part[a:b], percent)
+                    found.append(np.sort(np.stack([rep[a:b][i], rep[a:b][j]]), axis=0))
+                lo = hi
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["u", "v"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            last = np.ones(held.num_rows, bool)
+            for c in _GROUP:
+                column = held[c].to_numpy()
+                last &= column == column[-1] if len(column) else True
+            done = held.num_rows - int(last.sum())
+            if done:  # the last group may go on in the next batch
+                yield links(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield links(held)
+
+    return run
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are as similar as asked; the larger id's text travels to the smaller's."""
     with_v = pairs.join(texts.select(F.col("rep").alias("v"), F.col("packed").alias("y")), "v")
@@ -156,13 +230,15 @@ def _pairs_with_leaders(members: DataFrame, salt: int, percent: int) -> DataFram
     return met.select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v")).distinct()
 
 
-def _pairs_across(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket that lie in different parts, each made in the first band it shares only."""
-    own = members.join(marks, "rep").select("band", "place", "rep", "n", "part", "marks")
-    other = own.select("band", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("marks").alias("others"))
-    near = f"rep < v and part <> q and 100 * least(n, m) >= {percent} * greatest(n, m)"
-    first = "not exists(sequence(1, place), i -> i < place and marks[i - 1] = others[i - 1])"
-    return own.join(other, "band").where(F.expr(f"{near} and {first}")).select(F.col("rep").alias("u"), "v")
+def _links_across(members: DataFrame, buckets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """All links of each bucket between different parts: its chunks meet two by two."""
+    wide = F.greatest(F.ceil(F.col("s") / CHUNK), F.ceil(F.col("elements") / ELEMENTS)).cast("int")
+    placed = members.join(buckets.select("band", wide.alias("chunks")), "band")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", "band"), F.col("chunks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "part")
+    full = dealt.join(texts, "rep").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return full.select(*_GROUP, "rep", "part", "packed").mapInArrow(_compare(shingle, percent), "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -172,9 +248,9 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = real.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands")
-    reps = heads.select("rep", "n", F.posexplode("bands").alias("place", "band"))
+    reps = heads.select("rep", "n", F.explode("bands").alias("band"))
     shared = reps.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("band")
-    members = written(reps.join(shared, "band").select("band", (F.col("place") + 1).alias("place"), "rep", "n", F.col("rep").alias("part")), "band-members")
+    members = written(reps.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("part")), "band-members")
 
     wanted = written(members.select("rep").distinct(), "candidates")
     few = wanted.count() <= BROADCAST
@@ -182,26 +258,27 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     texts = written(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(_packed, "rep long, packed binary"), "candidate-texts")
     first = written(_pairs_with_leaders(members, 0, percent), "pairs")
     links = written(_verified(first, texts, shingle, percent), "links")
-    parts, tried = written(components(links), "parts"), 0
+    parts, tried, before = written(components(links), "parts"), 0, float("inf")
     while True:
         tried += 1
+        # buckets that lie in one part are settled for good, so that each round is of what the last one left
         placed = members.drop("part").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-        counts = placed.groupBy("band", "part").count().groupBy("band").agg(F.count("*").alias("k"), F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        placed = written(placed, "placed-members")
+        counts = placed.groupBy("band", "part").agg(F.count("*").alias("count"), F.sum("n").alias("elements")).groupBy("band").agg(F.count("*").alias("k"), F.sum("count").alias("s"), F.sum("elements").alias("elements"), F.sum(F.col("count") * F.col("count")).alias("q"))
         # a bucket of two has been settled by its leader
         split = written(counts.where("k > 1 and s > 2"), "split-buckets")
         left = split.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
         if not left["pairs"]:
             break
-        placed = written(placed.join(split.select("band"), "band"), "split-members")
-        last = left["pairs"] <= 16 * left["rows"] or tried > ROUNDS
+        members = written(placed.join(split.select("band"), "band"), "split-members")
+        last = left["pairs"] <= PAIRS * left["rows"] or left["pairs"] > 0.7 * before or tried > ROUNDS
+        before = left["pairs"]
         if last:
-            marks = signed.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"), "left_semi").join(classes, "digest").where("doc_id = rep").select("rep", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks"))
-            more = _pairs_across(placed, marks, percent)
+            fresh = written(_links_across(members, split, texts, shingle, percent), "links")
         else:
-            more = _pairs_with_leaders(placed, tried, percent)
-        more = written(more.join(first, ["u", "v"], "left_anti").distinct(), "more-pairs")
-        first = first.unionByName(more)
-        fresh = written(_verified(more, texts, shingle, percent), "links")
+            more = written(_pairs_with_leaders(members, tried, percent).join(first, ["u", "v"], "left_anti"), "more-pairs")
+            first = first.unionByName(more)
+            fresh = written(_verified(more, texts, shingle, percent), "links")
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             parts = written(components(links), "parts")

@@ -43,7 +43,7 @@ ROUNDS = 6
 #: What is left is compared at once if it is at most so many pairs for each row of a bucket.
 PAIRS = 256
 #: Classes and elements of a bucket that are compared together with as many others.
-CHUNK, ELEMENTS = 256, 1 << 19
+CHUNK, ELEMENTS = 1024, 1 << 19
 _FULL = np.uint64((1 << 64) - 1)
 _U = np.uint64
 
@@ -148,7 +148,7 @@ def _confirm(shingle: int, percent: int):
 
 def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of all sets of different parts that are as similar as asked."""
-    size = np.array([len(x) for x in sets], np.int64)
+    size = np.array([len(x) for x in sets], np.int32)
     near = 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
     i, j = np.nonzero(np.triu(part[:, None] != part, 1) & near & (size > 0))
     if not len(i):
@@ -168,7 +168,7 @@ def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[np.n
         has[owner[a:b], column[a:b] - k * wide] = 1
         shared += has @ has.T
     n = shared[i, j].astype(np.int64)
-    ok = 100 * n >= percent * (size[i] + size[j] - n)
+    ok = 100 * n >= percent * (size[i].astype(np.int64) + size[j] - n)
     return i[ok], j[ok]
 
 

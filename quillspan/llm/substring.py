@@ -6,7 +6,8 @@ buckets, whose number follows the size of the input, so that windows are told ap
 to 100 TB. A batch of documents first settles its own repeats, so that a passage however
 common leaves a batch once; what is left travels as packed arrays, a row a batch and bucket.
 In its bucket a window is flagged if a smaller doc_id has it too. The flags return to their
-documents, where overlapping windows merge into maximal intervals of words to remove.
+documents, packed by groups of documents of about ``BUCKET`` / ``GROUPS`` bytes, where
+overlapping windows merge into maximal intervals of words to remove.
 
 Defined cases: null text has no words; texts of fewer than ``WIDTH`` words are kept whole; a
 null doc_id neither removes anything nor loses anything; rows of one doc_id are judged each
@@ -15,6 +16,7 @@ against smaller ids, so that equal rows stay equal; windows are judged on the in
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import written
-from .tokens import blocks, windows, words
+from .tokens import blocks, mix, windows, words
 
 WIDTH = 13
 #: Bytes of text for each bucket.
 BUCKET = 8 << 20
+#: Groups of documents for each bucket.
+GROUPS = 4
 #: Bytes of text that settle their own repeats together; bounds a worker's memory.
 PART = 6 << 20
 _PACKED = "key long, settled boolean, docs binary, counts binary, hashes binary"
+_FLAGS = "__group long, docs binary, counts binary, hashes binary"
 
 
 def _pack(doc: np.ndarray, value: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -96,71 +101,90 @@ def _mapper(width: int, buckets: int):
     return run
 
 
-def _by_doc(doc: np.ndarray, value: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
-    cut = np.flatnonzero(new)
-    return pa.table({"doc_id": pa.array(doc[cut], pa.int64()), "hashes": pa.array([value[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True)] if len(cut) else [], pa.binary())})
-
-
-def _judge(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, hashes of its windows that a smaller doc_id has too)."""
-    doc, value, done = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-    for settled, d, c, h in zip(*(table[n].to_pylist() for n in ("settled", "docs", "counts", "hashes")), strict=True):
-        a, b = _unpack(d, c, h)
-        if settled:
-            done.append(_by_doc(a, b))
-        else:
-            doc.append(a)
-            value.append(b)
-    doc, value = np.concatenate(doc), np.concatenate(value)
-    if len(value):
-        order = np.argsort(value)
-        doc, value = doc[order], value[order]
-        new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        late = doc > np.repeat(np.minimum.reduceat(doc, new), np.diff(np.append(new, len(doc))))
-        done.append(_by_doc(doc[late], value[late]))
-    return pa.concat_tables(done)
-
-
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        text = [None if t is None else pack.compress(t.encode()) for t in batch.column("text").to_pylist()]
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, pa.binary()))
+def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _judge(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket: by group of documents, the hashes of the windows that a smaller doc_id has too."""
+        doc, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        flagged, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for settled, d, c, h in zip(*(table[n].to_pylist() for n in ("settled", "docs", "counts", "hashes")), strict=True):
+            a, b = _unpack(d, c, h)
+            (flagged if settled else doc).append(a)
+            (hashes if settled else value).append(b)
+        doc, value = np.concatenate(doc), np.concatenate(value)
+        if len(value):
+            order = np.argsort(value)
+            doc, value = doc[order], value[order]
+            new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            late = doc > np.repeat(np.minimum.reduceat(doc, new), np.diff(np.append(new, len(doc))))
+            flagged.append(doc[late])
+            hashes.append(value[late])
+        doc, value = np.concatenate(flagged), np.concatenate(hashes)
+        group = _group_of(doc, groups)
+        order = np.lexsort((doc, group))
+        doc, value, group = doc[order], value[order], group[order]
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        rows = [(int(group[a]), *_pack(doc[a:b], value[a:b])) for a, b in zip(edge, np.append(edge[1:], len(doc)), strict=True)] if len(edge) else []
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["__group", "docs", "counts", "hashes"])
 
+    return run
+
+
+def _squeeze(groups: int):
+    """Texts compressed, and the group that a document's flags go to; a null doc_id goes by its text."""
 
-def _remover(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            names = batch.schema.names
-            raw = [None if t is None else unpack.decompress(t) for t in batch.column("text").to_pylist()]
-            flags = batch.column("__flags").to_pylist()
-            kept, total, spans = [], [], []
-            for t, f in zip(raw, flags, strict=True):
-                parts = (t or b"").split()
-                total.append(len(parts))
-                found: list[dict[str, int]] = []
-                if f:
-                    w = words(next(iter(blocks(pa.array([t.decode()])))))
-                    h, at = windows(w, width)
-                    hit = at[np.isin(h, np.frombuffer(b"".join(f), np.uint64))]
-                    gone = np.zeros(len(parts) + 1, np.int64)
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + width, -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    found = [{"begin": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                    parts = [p for p, g in zip(parts, gone.tolist(), strict=True) if not g]
-                spans.append(found)
-                kept.append(b" ".join(parts).decode())
-            text = pa.array([None if t is None else t.decode() for t in raw], pa.string())
-            cols = [text if n == "text" else batch.column(n) for n in names if n != "__flags"]
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=[n for n in names if n != "__flags"] + ["n_words", "removed", "kept"])
+            raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            text = pa.array([None if t is None else pack.compress(t) for t in raw], pa.binary())
+            ids = [zlib.crc32(t or b"") if i is None else i for i, t in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), raw, strict=True)]
+            out = batch.set_column(batch.schema.get_field_index("text"), "text", text)
+            yield out.append_column("__group", pa.array(_group_of(np.array(ids, np.int64), groups)))
+
+    return run
+
+
+def _remover(width: int):
+    def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        own, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for d, c, h in zip(*(flags[n].to_pylist() for n in ("docs", "counts", "hashes")), strict=True):
+            a, b = _unpack(d, c, h)
+            own.append(a)
+            hashes.append(b)
+        own, hashes = np.concatenate(own), np.concatenate(hashes)
+        order = np.argsort(own, kind="stable")
+        own, hashes = own[order], hashes[order]
+        raw = [None if t is None else unpack.decompress(t) for t in docs["text"].to_pylist()]
+        kept, total, spans = [], [], []
+        for i, t in zip(docs["doc_id"].cast(pa.int64()).to_pylist(), raw, strict=True):
+            parts = (t or b"").split()
+            total.append(len(parts))
+            found: list[dict[str, int]] = []
+            lo, hi = (0, 0) if i is None else np.searchsorted(own, [i, i + 1])
+            if hi > lo and len(parts) >= width:
+                w = words(next(iter(blocks(pa.array([t.decode()])))))
+                h, at = windows(w, width)
+                hit = at[np.isin(h, hashes[lo:hi])]
+                gone = np.zeros(len(parts) + 1, np.int64)
+                np.add.at(gone, hit, 1)
+                np.add.at(gone, hit + width, -1)
+                gone = np.cumsum(gone)[:-1] > 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                found = [{"begin": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                parts = [p for p, g in zip(parts, gone.tolist(), strict=True) if not g]
+            spans.append(found)
+            kept.append(b" ".join(parts).decode())
+        text = pa.array([None if t is None else t.decode() for t in raw], pa.string())
+        names = [n for n in docs.schema.names if n != "__group"]
+        cols = [text if n == "text" else docs[n] for n in names]
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        return pa.Table.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=[*names, "n_words", "removed", "kept"])
 
     return run
 
@@ -171,12 +195,12 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // BUCKET))
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_mapper(width, buckets), _PACKED)
-    flagged = packed.groupBy("key").applyInArrow(_judge, "doc_id long, hashes binary")
-    flagged = written(flagged, "window-flags").groupBy("doc_id").agg(F.collect_list("hashes").alias("__flags")).withColumnRenamed("doc_id", "__doc")
-    small = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
-    joined = docs.mapInArrow(_squeeze, small).join(flagged, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    flags = written(packed.groupBy("key").applyInArrow(_judge(GROUPS * buckets), _FLAGS), "window-flags")
+    fields = [T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
+    small = docs.mapInArrow(_squeeze(GROUPS * buckets), T.StructType([*fields, T.StructField("__group", T.LongType())]))
     added = T.StructType.fromDDL("n_words long, removed array<struct<begin: int, end: int>>, kept string")
-    return joined.mapInArrow(_remover(width), T.StructType([*docs.schema.fields, *added.fields]))
+    both = small.groupBy("__group").cogroup(flags.groupBy("__group"))
+    return both.applyInArrow(_remover(width), T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

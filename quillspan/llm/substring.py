@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import written
 from .tokens import blocks, mix, windows, words
 
 WIDTH = 13
@@ -195,7 +194,7 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // BUCKET))
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_mapper(width, buckets), _PACKED)
-    flags = written(packed.groupBy("key").applyInArrow(_judge(GROUPS * buckets), _FLAGS), "window-flags")
+    flags = packed.groupBy("key").applyInArrow(_judge(GROUPS * buckets), _FLAGS)
     fields = [T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
     small = docs.mapInArrow(_squeeze(GROUPS * buckets), T.StructType([*fields, T.StructField("__group", T.LongType())]))
     added = T.StructType.fromDDL("n_words long, removed array<struct<begin: int, end: int>>, kept string")

@@ -295,7 +295,8 @@ def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     ids = written(found.where("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("copy")), "copies")
     copies = ids.groupBy("doc_id").agg(F.max("copy").alias("copy"), F.count("*").alias("k")).where("copy or k > 1")
     gone, again = copies.where("copy").select("doc_id"), copies.where("not copy").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(gone, "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
     once = kept.join(again, "doc_id", "left_semi").select(*docs.columns)

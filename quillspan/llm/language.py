@@ -12,9 +12,12 @@ the contexts' weights, and takes the language of the lowest cross-entropy a char
 Rejection: on training texts left out of the counts, each language's own cross-entropies give
 a mean and a deviation; ``accepted`` is false above mean + ``TOLERANCE`` deviations.
 
-The broadcast is bounded: at most ``MAX_GRAMS`` n-grams an order stay, those with the largest
-counts over all languages; what falls out backs off, so its probability is estimated from
-shorter n-grams. The counts themselves cover all training texts.
+Every n-gram stays. Up to ``HELD`` cells (n-grams of all orders by languages) one model is built on
+the driver and broadcast. Beyond that, Spark computes the same probabilities and weights as
+tables, and texts are scored in rounds: a round broadcasts the n-grams of a range of code points,
+by the character before the last, which all n-grams that end at one place and their contexts
+share, and adds what its places give. A range has about ``HELD`` cells, or one character's n-grams
+where these alone are more; single characters, bounded by the alphabet, are part of each range.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and not
 accepted; so is everything if no language was learnt. Ties go to the language that sorts
@@ -28,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +39,8 @@ from .storage import written
 from .tokens import letter_streams, mix, text_blocks
 
 ORDER = 4
-MAX_GRAMS = 1 << 18
+#: Most cells, n-grams by languages, of a model that is broadcast.
+HELD = 1 << 21
 TOLERANCE = 6.0
 #: One training text in so many calibrates the rejection instead of being counted.
 CALIBRATION = 50
@@ -146,14 +150,68 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+@dataclass
+class Spread:
+    """Models too large to broadcast: tables, and the code points at which each range of them begins."""
+
+    langs: list[str]
+    grams: list[DataFrame]  # by order: gram, p (by language)
+    contexts: list[DataFrame]  # by length 1..ORDER-1: gram, p
+    begins: list[int]
+    floor: float
+    mean: np.ndarray | None = None
+    deviation: np.ndarray | None = None
+
+    def parts(self) -> Iterator[tuple[Model, int, int]]:
+        """Models of the ranges, with the ranges."""
+        for lo, hi in zip(self.begins, [*self.begins[1:], 1 << 32], strict=True):
+            model = Model(self.langs, floor=self.floor)
+            for n, table in enumerate(self.grams, 1):
+                keys, p = _sorted(table if n == 1 else table.where((_before_last(n) >= lo) & (_before_last(n) < hi)), n, len(self.langs))
+                model.grams.append(keys)
+                model.logp.append(p)
+            for n, table in enumerate(self.contexts, 1):
+                keys, p = _sorted(table.where((_code_point(n) >= lo) & (_code_point(n) < hi)), n, len(self.langs))
+                model.contexts.append(keys)
+                model.backoff.append(p)
+            yield model, lo, hi
+
+
+def _code_point(n: int) -> Column:
+    return F.ascii(F.substring("gram", n, 1))
+
+
+def _before_last(n: int) -> Column:
+    return _code_point(n - 1)
+
+
+def _points(grams: list[str], n: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+
+
+def _sorted(table: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.toArrow()
+    keys = _hash_of(_points(rows["gram"].to_pylist(), n))
+    p = rows["p"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    order = np.argsort(keys)
+    return keys[order], np.log(np.maximum(p[order], 1e-12)).astype(np.float32)
+
+
 def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(cross-entropy a character by text and language, letters of each text)."""
+    total, chars, letters = _sums(model, texts)
+    return -total / np.maximum(chars, 1)[:, None], letters
+
+
+def _sums(model: Model, texts: list[str | None], lo: int = 0, hi: int = 1 << 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-probability by text and language of the characters behind one in lo..hi, all characters, letters)."""
     points, first, letters = letter_streams(texts, ORDER - 1)
     order = len(model.grams)
     keys = _keys(points, order)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     own = _own(points, first)
     out = np.zeros((len(texts), len(model.langs)))
+    own[1:] &= (points[:-1] >= lo) & (points[:-1] < hi)
     left, pending = np.flatnonzero(own), None
     for n in range(order, 0, -1):
         at, hit = _find(model.grams[n - 1], keys[n - 1][left])
@@ -171,10 +229,10 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     if len(left):
         for j in range(len(model.langs)):
             out[:, j] += np.bincount(owner[left], pending[:, j] + model.floor, len(texts))
-    return -out / np.maximum(np.diff(first) - (ORDER - 1), 1)[:, None], letters
+    return out, np.diff(first) - (ORDER - 1), letters
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame) -> Model | Spread:
     """Models from (doc_id, text, lang): all its rows with a text and a language are training texts."""
     known = docs.where("text is not null and lang is not null").select("text", "lang", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(CALIBRATION)) == 0).alias("apart"))
     full = known.where("not apart").select("lang", "text").mapInArrow(_counts, "lang string, gram string, n long")
@@ -182,38 +240,96 @@ def train(docs: DataFrame) -> Model:
     langs = sorted(r[0] for r in full.select("lang").distinct().collect())
     if not langs:
         return Model([])
-    cols = [f"c{i}" for i in range(len(langs))]
-    wide = full.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for c, x in zip(cols, langs, strict=True)])
-    tables = [_top(wide, cols, ORDER)]
-    for n in range(ORDER - 1, 0, -1):
-        # distinct predecessors: how many n-grams one character longer end in this one, by language
-        wide = wide.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in cols])
-        tables.insert(0, _top(wide, cols, n, tables[0][0]))
-    model = build(tables, langs)
-    picked = known.where("apart").withColumn("r", F.xxhash64("text")).orderBy("r", "lang").limit(CALIBRATION_ROWS).select("lang", "text").toArrow()
-    _calibrate(model, picked["lang"].to_pylist(), picked["text"].to_pylist())
+    model = _built(full, langs)
+    picked = known.where("apart").withColumn("r", F.xxhash64("text")).orderBy("r", "lang").limit(CALIBRATION_ROWS).select("lang", "text")
+    _calibrate(model, picked)
     return model
 
 
-def _top(wide: DataFrame, cols: list[str], n: int, longer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams with the largest counts, and all that end those of ``longer``."""
-    rows = wide.orderBy(F.desc(sum((F.col(c) for c in cols), F.lit(0))), "gram").limit(MAX_GRAMS).toArrow()
-    points = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-    count = np.stack([rows[c].to_numpy() for c in cols], 1).astype(float)
-    if longer is not None and len(longer):
-        ends = np.unique(longer[:, 1:], axis=0)
-        ends = ends[~np.isin(_hash_of(ends), _hash_of(points))]
-        points, count = np.concatenate([points, ends]), np.concatenate([count, np.zeros((len(ends), len(cols)))])
-    return points, count
-
-
-def _calibrate(model: Model, langs: list[str], texts: list[str]) -> None:
+def _built(full: DataFrame, langs: list[str]) -> Model | Spread:
+    """Models from all counts (lang, gram, n) of the highest order."""
+    cols = [f"c{i}" for i in range(len(langs))]
+    wide = full.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for c, x in zip(cols, langs, strict=True)])
+    tables = [written(wide, "char-grams")]
+    for _ in range(ORDER - 1):
+        # distinct predecessors: how many n-grams one character longer end in this one, by language
+        wide = tables[0].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in cols])
+        tables.insert(0, written(wide, "char-grams"))
+    if sum(t.count() for t in tables) * len(langs) > HELD:
+        return _spread(tables, cols, langs)
+    return build([_table(t, cols, n) for n, t in enumerate(tables, 1)], langs)
+
+
+def _table(wide: DataFrame, cols: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = wide.toArrow()
+    return _points(rows["gram"].to_pylist(), n), np.stack([rows[c].to_numpy() for c in cols], 1).astype(float)
+
+
+def _spread(tables: list[DataFrame], cols: list[str], langs: list[str]) -> Spread:
+    """What ``build`` computes, as tables."""
+    size = max(tables[0].count(), 1)
+    grams, contexts = [], []
+    for n, table in enumerate(tables, 1):
+        seen = table.agg(*[F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in cols for k in (1, 2)]).first()
+        off = [min(max(seen[f"{c}_1"] / (seen[f"{c}_1"] + 2 * seen[f"{c}_2"]), 0.1), 0.95) if seen[f"{c}_1"] + seen[f"{c}_2"] else 0.5 for c in cols]
+        behind = F.substring("gram", 1, n - 1).alias("context")
+        sums = [F.sum(c).alias(f"t_{c}") for c in cols]
+        gamma = [F.when(F.sum(c) > 0, F.lit(d) * F.count(F.when(F.col(c) > 0, 1)) / F.sum(c)).otherwise(1.0) for c, d in zip(cols, off, strict=True)]
+        of = written(table.groupBy(behind).agg(*sums, F.array(*gamma).alias("gamma")), "char-contexts")
+        rows = table.withColumn("context", behind).join(of, "context")
+        below = [F.lit(1 / (size + 1))] * len(cols)
+        if grams:
+            rows = rows.withColumn("end", F.expr("substring(gram, 2)")).join(grams[-1].select(F.col("gram").alias("end"), F.col("p").alias("below")), "end")
+            below = [F.get("below", F.lit(j)) for j in range(len(cols))]
+        p = [F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(f"t_{c}"), F.lit(1)) + F.get("gamma", F.lit(j)) * below[j] for j, (c, d) in enumerate(zip(cols, off, strict=True))]
+        grams.append(written(rows.select("gram", F.array(*p).alias("p")), "char-p"))
+        if n > 1:
+            contexts.append(of.select(F.col("context").alias("gram"), F.col("gamma").alias("p")))
+    cells = None
+    for n, table in enumerate(grams[1:], 2):
+        own = table.groupBy(_before_last(n).alias("at")).count()
+        cells = own if cells is None else cells.unionByName(own)
+    begins, held = [0], 0
+    for at, n in sorted(map(tuple, cells.groupBy("at").agg(F.sum("count")).collect())):
+        if held and (held + n) * len(cols) > HELD:
+            begins.append(at)
+            held = 0
+        held += n
+    return Spread(langs, grams, contexts, begins, float(np.log(1 / (size + 1))) - 3)
+
+
+def _with_sums(docs: DataFrame, model: Model | Spread, text: str) -> DataFrame:
+    """``docs`` with __sums (log-probability by language), __chars and __letters; a round for each range of the models."""
+    kinds = [T.StructField("__sums", T.ArrayType(T.DoubleType())), T.StructField("__chars", T.LongType()), T.StructField("__letters", T.LongType())]
+    schema = T.StructType([*docs.schema.fields, *kinds])
+    rounds = [(model, 0, 1 << 32)] if isinstance(model, Model) else model.parts()
+    for part, lo, hi in rounds:
+        held = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, lo=lo, hi=hi) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, width = batch.column(text).to_pylist(), len(held.value.langs)
+                total, chars, letters = np.zeros((len(texts), width)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+                for a, b in text_blocks(texts):
+                    total[a:b], chars[a:b], letters[a:b] = _sums(held.value, texts[a:b], lo, hi)
+                if "__sums" in batch.schema.names:
+                    total += batch.column("__sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    batch = batch.select(batch.schema.names[:-3])
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, sums, pa.array(chars), pa.array(letters)], names=schema.names)
+
+        docs = docs.mapInArrow(run, schema)
+        if isinstance(model, Spread):
+            docs = written(docs, "char-sums")
+            held.destroy()
+    return docs
+
+
+def _calibrate(model: Model | Spread, texts: DataFrame) -> None:
     model.mean, model.deviation = np.full(len(model.langs), np.inf), np.ones(len(model.langs))
-    if not texts:
-        return
-    found, letters = entropies(model, texts)
+    rows = _with_sums(texts, model, "text").where("__letters >= 20").select("lang", "__sums", "__chars").toArrow().to_pylist()
     for j, lang in enumerate(model.langs):
-        own = found[(np.array(langs, object) == lang) & (letters >= 20), j]
+        own = np.array([-r["__sums"][j] / max(r["__chars"], 1) for r in rows if r["lang"] == lang])
         if len(own) >= 5:
             model.mean[j], model.deviation[j] = own.mean(), max(own.std(), 0.02)
 
@@ -224,26 +340,40 @@ def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
     if not model.langs:
         return [UNKNOWN] * len(texts), score, ok
     for lo, hi in text_blocks(texts):
-        e, letters = entropies(model, texts[lo:hi])
-        best = e.argmin(1)
-        p = np.exp(-(e - e.min(1, keepdims=True)) * np.minimum(letters, 40)[:, None])
-        score[lo:hi] = np.where(letters > 0, 1 / p.sum(1), 0)
-        ok[lo:hi] = (letters > 0) & (e[np.arange(hi - lo), best] <= (model.mean + TOLERANCE * model.deviation)[best])
-        lang += [model.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist(), strict=True)]
+        own, score[lo:hi], ok[lo:hi] = _judged(model, *entropies(model, texts[lo:hi]))
+        lang += own
     return lang, score, ok
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", reject: bool = True) -> DataFrame:
+def _judged(model: Model | Spread, e: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    best = e.argmin(1)
+    p = np.exp(-(e - e.min(1, keepdims=True)) * np.minimum(letters, 40)[:, None])
+    ok = (letters > 0) & (e[np.arange(len(e)), best] <= (model.mean + TOLERANCE * model.deviation)[best])
+    return [model.langs[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters > 0, 1 / p.sum(1), 0), ok
+
+
+def predict(docs: DataFrame, model: Model | Spread, text: str = "text", reject: bool = True) -> DataFrame:
     """``docs`` with lang_pred, score and accepted; with ``reject`` a text that isn't accepted is ``und``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+    docs = docs.drop("lang_pred", "score", "accepted")
+    schema = T.StructType([*docs.schema.fields, *added])
+    whole = isinstance(model, Model)
+    if not whole:
+        docs = _with_sums(docs, model, text)
+        model = Model(model.langs, mean=model.mean, deviation=model.deviation)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, ok = identify(held.value, batch.column(text).to_pylist())
+            if whole:
+                lang, score, ok = identify(held.value, batch.column(text).to_pylist())
+            else:
+                total = batch.column("__sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(held.value.langs))
+                chars, letters = batch.column("__chars").to_numpy(), batch.column("__letters").to_numpy()
+                lang, score, ok = _judged(held.value, -total / np.maximum(chars, 1)[:, None], letters)
+                batch = batch.select(batch.schema.names[:-3])
             if reject:
                 lang = [x if y else UNKNOWN for x, y in zip(lang, ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=[*batch.schema.names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=schema.names)
 
-    docs = docs.drop("lang_pred", "score", "accepted")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(run, schema)

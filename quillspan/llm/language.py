@@ -9,8 +9,11 @@ one an order: (hash, log-probability per language) with (hash, log back-off per
 contexts. Scoring finds every character by binary search, falls back to shorter n-grams with
 the contexts' weights, and takes the language of the lowest cross-entropy a character.
 
-Rejection: on training texts left out of the counts, each language's own cross-entropies give
-a mean and a deviation; ``accepted`` is false above mean + ``TOLERANCE`` deviations.
+Rejection: one training text in ``CALIBRATION`` is set apart. Models of the others give the
+cross-entropies of all texts set apart in their own languages, whose mean and deviation Spark
+takes by language; ``accepted`` is false above mean + ``TOLERANCE`` deviations. A language with
+fewer than ``LEAST`` such texts of 20 letters has no threshold, and nothing is rejected for it.
+The models that answer are then built from the counts of all training texts, those set apart too.
 
 Every n-gram stays. Up to ``HELD`` cells (n-grams of all orders by languages) one model is built on
 the driver and broadcast. Beyond that, Spark computes the same probabilities and weights as
@@ -42,9 +45,10 @@ ORDER = 4
 #: Most cells, n-grams by languages, of a model that is broadcast.
 HELD = 1 << 21
 TOLERANCE = 6.0
-#: One training text in so many calibrates the rejection instead of being counted.
+#: One training text in so many is set apart to calibrate the rejection.
 CALIBRATION = 50
-CALIBRATION_ROWS = 2000
+#: Fewest texts set apart that make a language's threshold.
+LEAST = 5
 UNKNOWN = "und"
 
 
@@ -62,12 +66,13 @@ def _keys(points: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): how often each n-gram of the highest order occurs in a batch."""
+    """(lang, apart, gram, n): how often each n-gram of the highest order occurs in a batch."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
+        aparts = np.array(batch.column("apart").to_pylist(), bool)
         texts = batch.column("text").to_pylist()
-        for lang in sorted(set(langs)):
-            mine = [texts[i] for i in np.flatnonzero(langs == lang)]
+        for lang, apart in sorted(set(zip(langs, aparts.tolist(), strict=True))):
+            mine = [texts[i] for i in np.flatnonzero((langs == lang) & (aparts == apart))]
             keys, grams, counts = [], [], []
             for lo, hi in text_blocks(mine):
                 points, first, _ = letter_streams(mine[lo:hi], ORDER - 1)
@@ -80,7 +85,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
             text = np.concatenate(grams)[at].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(total)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([apart] * len(at)), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(total)], names=["lang", "apart", "gram", "n"])
 
 
 def _own(points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -235,14 +240,14 @@ def _sums(model: Model, texts: list[str | None], lo: int = 0, hi: int = 1 << 32)
 def train(docs: DataFrame) -> Model | Spread:
     """Models from (doc_id, text, lang): all its rows with a text and a language are training texts."""
     known = docs.where("text is not null and lang is not null").select("text", "lang", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(CALIBRATION)) == 0).alias("apart"))
-    full = known.where("not apart").select("lang", "text").mapInArrow(_counts, "lang string, gram string, n long")
-    full = written(full.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "char-counts")
+    full = known.select("lang", "apart", "text").mapInArrow(_counts, "lang string, apart boolean, gram string, n long")
+    full = written(full.groupBy("lang", "apart", "gram").agg(F.sum("n").alias("n")), "char-counts")
     langs = sorted(r[0] for r in full.select("lang").distinct().collect())
     if not langs:
         return Model([])
+    mean, deviation = _calibrated(full.where("not apart"), known.where("apart"), langs)
     model = _built(full, langs)
-    picked = known.where("apart").withColumn("r", F.xxhash64("text")).orderBy("r", "lang").limit(CALIBRATION_ROWS).select("lang", "text")
-    _calibrate(model, picked)
+    model.mean, model.deviation = mean, deviation
     return model
 
 
@@ -325,13 +330,19 @@ def _with_sums(docs: DataFrame, model: Model | Spread, text: str) -> DataFrame:
     return docs
 
 
-def _calibrate(model: Model | Spread, texts: DataFrame) -> None:
-    model.mean, model.deviation = np.full(len(model.langs), np.inf), np.ones(len(model.langs))
-    rows = _with_sums(texts, model, "text").where("__letters >= 20").select("lang", "__sums", "__chars").toArrow().to_pylist()
-    for j, lang in enumerate(model.langs):
-        own = np.array([-r["__sums"][j] / max(r["__chars"], 1) for r in rows if r["lang"] == lang])
-        if len(own) >= 5:
-            model.mean[j], model.deviation[j] = own.mean(), max(own.std(), 0.02)
+def _calibrated(full: DataFrame, apart: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation by language of the entropies of all texts apart, by models of the counts ``full``."""
+    mean, deviation = np.full(len(langs), np.inf), np.ones(len(langs))
+    seen = {r[0] for r in full.select("lang").distinct().collect()}
+    if not seen:
+        return mean, deviation
+    own = F.get("__sums", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1)
+    rows = _with_sums(apart.select("lang", "text"), _built(full, langs), "text").where("__letters >= 20")
+    rows = rows.select("lang", (-own / F.greatest("__chars", F.lit(1))).alias("e"))
+    for lang, n, m, d in rows.groupBy("lang").agg(F.count("e"), F.avg("e"), F.stddev_pop("e")).collect():
+        if n >= LEAST and lang in seen:
+            mean[langs.index(lang)], deviation[langs.index(lang)] = m, max(d, 0.02)
+    return mean, deviation
 
 
 def identify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -46,3 +46,17 @@ def test_grams_beyond_the_old_bound_stay(spark):
     keys = language._keys(points, language.ORDER)[-1][language._own(points, first)]
     known = language._find(model.grams[-1], keys)[1]
     assert known.mean() > 0.8
+
+
+def test_rare_language_has_a_threshold_and_few_texts_are_learnt(spark):
+    # of 400 rare texts about 8 are set apart, of 300,000 others about 6,000: a pool of 2,000 rows holds about 3 rare ones
+    rng = random.Random(7)
+    rare = [(400_000 + i, "".join(rng.choice("rstuvw ") for _ in range(60)), "rare") for i in range(400)]
+    docs = spark.createDataFrame(rare, "doc_id long, text string, lang string")
+    hot = spark.range(300_000).selectExpr("id as doc_id", "concat('abcde fghij klmno ', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "'hot' as lang")
+    apart = lambda i: spark.sql(f"select pmod(xxhash64({i}L, 'qqqqq xxxxx yyyyy zzzzz'), {language.CALIBRATION}) = 0").first()[0]
+    alone = next(i for i in range(500_000, 500_900) if apart(i))
+    one = spark.createDataFrame([(alone, "qqqqq xxxxx yyyyy zzzzz", "one")], "doc_id long, text string, lang string")
+    model = language.train(docs.unionByName(hot).unionByName(one))
+    assert model.langs == ["hot", "one", "rare"]
+    assert np.isfinite(model.mean).tolist() == [True, False, True]

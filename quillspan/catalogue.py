@@ -161,6 +161,12 @@ def exact_text_anti(t):
     return dedupe.without_known(keyed.where("doc_id % 2 = 1"), keyed.where("doc_id % 2 = 0"), ["norm"]).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM documents WHERE {_norm('text')} NOT IN (SELECT {_norm('text')} FROM documents WHERE doc_id % 2 = 0) AND doc_id % 2 = 1")
+def exact_text_anti_whole(t):
+    keyed = t("documents").select("doc_id", F.sha2(X.normalized(F.col("text")).cast("binary"), 256).alias("norm"))
+    return dedupe.without_known(keyed.where("doc_id % 2 = 1"), keyed.where("doc_id % 2 = 0"), ["norm"]).select("doc_id")
+
+
 @query("WITH f AS (SELECT * FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_orderkey % 7 = 0 AND k.l_suppkey = l.l_suppkey AND k.l_partkey = l.l_partkey)) SELECT l_suppkey, CAST(l_quantity AS INTEGER) AS q, min(l_orderkey * 10 + l_linenumber) AS seq FROM f GROUP BY 1, 2")
 def first_per_start(t):
     rows = t("lineitem").select(F.col("l_suppkey").alias("book_id"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("ann_id"), "l_orderkey")

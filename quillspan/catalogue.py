@@ -227,7 +227,7 @@ def similar_text(t):
 
 @query()
 def corroborated(t):
-    docs = t("documents").select(F.col("doc_id").alias("row_id"), "source", X.key_of(F.left("text", F.lit(120))).alias("norm"))
+    docs = t("documents").select(F.col("doc_id").alias("row_id"), "source", X.key_of(F.col("text")).alias("norm"))
     return dedupe.with_similar(docs.where("row_id % 2 = 1"), docs.where("row_id % 2 = 0"), group="source").select("row_id", "source")
 
 

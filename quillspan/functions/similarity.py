@@ -24,6 +24,35 @@ def _without_junk(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y, False) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, which difflib's matches never exceed; bits of one integer for a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rest = full
+    for c in b:
+        hit = rest & at.get(c, 0)
+        rest = (rest + hit | rest - hit) & full
+    return len(a) - rest.bit_count()
+
+
+def _reaches(a: str | None, b: str | None, threshold: float) -> bool | None:
+    if a is None or b is None:
+        return None
+    if 2 * _common(a, b) < threshold * (len(a) + len(b)):
+        return False
+    return _ratio(a, b, False) >= threshold
+
+
+def _close(threshold: float):
+    @F.pandas_udf(T.BooleanType())
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_reaches(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype="object")
+
+    return close
+
+
 def ratio(a: Column, b: Column, junk: bool = True) -> Column:
     """difflib's ratio of a to b, which is not symmetric; ``junk``: frequent characters may be skipped."""
     return (_with_junk if junk else _without_junk)(a, b)
@@ -43,5 +72,5 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
     """
     known = similar_or_unsure(a, b, threshold)
     open_ = known.isNull()
-    close = ratio(F.when(open_, a), F.when(open_, b), junk=False) >= threshold
+    close = _close(threshold)(F.when(open_, a), F.when(open_, b))
     return F.coalesce(known, close, F.lit(False))

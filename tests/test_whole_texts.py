@@ -1,6 +1,9 @@
 """Queries over whole texts: what differs late in a text counts."""
 
+import random
+
 from quillspan import catalogue
+from quillspan.functions import similarity
 
 
 def folder(spark, path, rows):
@@ -12,3 +15,21 @@ def test_shared_opening_is_not_known(spark, tmp_path):
     opening = "a common opening of more than thirty characters, "
     at = folder(spark, tmp_path, [(1, opening + "one", "s"), (2, opening + "two", "s"), (3, opening + "two", "s")])
     assert [r[0] for r in catalogue.QUERIES["exact_text_anti_whole"](spark, at).collect()] == [1]
+
+
+def test_corroborated_by_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    said = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    opening, end = said(20), said(60)
+    rows = [(1, opening + " " + said(60), "s"), (2, opening + " " + end, "s"), (3, opening + " " + end[:-9] + "otherends", "s")]
+    at = folder(spark, tmp_path, rows)
+    assert [r[0] for r in catalogue.QUERIES["corroborated"](spark, at).collect()] == [3]
+
+
+def test_bound_loses_nothing():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 30)))
+        b = "".join(c if rng.random() < 0.9 else rng.choice("abc") for c in a)
+        for threshold in (0.5, 0.8, 0.85, 1.0):
+            assert similarity._reaches(a, b, threshold) == (similarity._ratio(a, b, False) >= threshold)

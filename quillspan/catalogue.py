@@ -220,8 +220,8 @@ def match_best(t):
 
 @query()
 def similar_text(t):
-    docs = t("documents").select("doc_id", X.key_of(F.left("text", F.lit(200))).alias("norm"))
-    pairs = docs.alias("a").join(docs.select(F.col("doc_id").alias("other"), F.col("norm").alias("other_norm")).alias("b"), (F.left("norm", F.lit(12)) == F.left("other_norm", F.lit(12))) & (F.col("doc_id") < F.col("other")))
+    docs = t("documents").select("doc_id", X.key_of(F.col("text")).alias("norm"))
+    pairs = docs.alias("a").join(docs.select(F.col("doc_id").alias("other"), F.col("norm").alias("other_norm")).alias("b"), F.col("doc_id") < F.col("other"))
     return pairs.where(similar(F.col("norm"), F.col("other_norm"), 0.8)).select("doc_id", "other", ratio(F.col("norm"), F.col("other_norm"), junk=False).alias("ratio"))
 
 

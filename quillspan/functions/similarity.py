@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 
 def _ratio(a: str | None, b: str | None, junk: bool) -> float | None:
-    return None if a is None or b is None else SequenceMatcher(isjunk=None, a=a, b=b, autojunk=junk).ratio()
+    if a is None or b is None:
+        return None
+    return 1.0 if a == b else SequenceMatcher(isjunk=None, a=a, b=b, autojunk=junk).ratio()
 
 
 @F.pandas_udf(T.DoubleType())

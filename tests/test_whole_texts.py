@@ -33,3 +33,11 @@ def test_bound_loses_nothing():
         b = "".join(c if rng.random() < 0.9 else rng.choice("abc") for c in a)
         for threshold in (0.5, 0.8, 0.85, 1.0):
             assert similarity._reaches(a, b, threshold) == (similarity._ratio(a, b, False) >= threshold)
+
+
+def test_similar_texts_may_differ_at_first(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    whole, opening = text(), text()[:210]
+    rows = [(1, whole, "s"), (2, "#" + whole[1:], "s"), (3, opening + text(), "s"), (4, opening + text(), "s")]
+    assert [(r["doc_id"], r["other"]) for r in catalogue.QUERIES["similar_text"](spark, folder(spark, tmp_path, rows)).collect()] == [(1, 2)]

@@ -44,7 +44,7 @@ _MARKERS = r"'\[(?:\*|\*?\d+)\]'"
 
 
 def _hays(t) -> DataFrame:
-    return t("documents").select(F.col("doc_id").alias("hay_id"), X.normalized(F.col("text")).alias("hay"))
+    return locate.spread(t("documents").select("doc_id", "text")).select(F.col("doc_id").alias("hay_id"), X.normalized(F.col("text")).alias("hay"))
 
 
 def _needles(t, change=lambda n: n) -> DataFrame:

@@ -1,33 +1,46 @@
 """Finding passages in long texts: exact, then by both ends, then fuzzily around common seeds.
 
-Texts and needles are normalised first. The first two stages are native; the third scans each
-text once for the seeds of all needles at once and compares only small windows.
+Texts and needles are normalised first. Texts and needles meet by keys, never all with all:
+the first two stages by whole words that stand inside the needle's head, the third by pieces
+of ``SEED`` characters. Keys travel alone; texts are joined to the few pairs that they leave.
+Each stage is asked only for the pairs that the stages before it left open.
+
+A needle is searched in every text, or, with ``group``, in the texts of its own group only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions.text import least_block
 
-ANCHOR = 60
-SEED = 12
-#: Needles up to this number are compared with every text; more are joined by a shared run of words.
-NESTED = 64
-#: Largest number of needles whose seeds are broadcast together; more go in blocks.
-BLOCK = 50_000
-#: Most characters of all needles that one block may hold.
-BLOCK_CHARS = 64 << 20
-_RUN = 4
+# Fixed values of the search: the anchor's head and tail, its score and its slack; the seed's
+# length and least length, hits a seed; the window's margin, the span's slack, candidates, floor.
+ANCHOR, ANCHOR_SCORE, ANCHOR_STRETCH, ANCHOR_SLACK = 60, 0.95, 1.3, 60
+SEED, LEAST_SEED, SEED_HITS = 12, 6, 50
+MARGIN, STRETCH, SLACK = 40, 1.6, 40
+TOP, FLOOR = 5, 0.55
+
+#: Largest number of keys or seeds that is broadcast at once; more go in blocks.
+BROADCAST = 1 << 20
+#: Characters of a text that are cut into seeds together.
+PIECE = 240
+_RUN, _GRAM = 4, 8
 _MATCH = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
+_CLUSTERS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("votes", T.IntegerType())]))
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """``texts``, dealt over all cores where their files would leave cores idle."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
 
 def exact_start(hay: Column, needle: Column) -> Column:
     """0-based place of the needle's first occurrence, or null; an empty needle is nowhere."""
@@ -41,55 +54,65 @@ def anchor_span(hay: Column, needle: Column) -> Column:
     head = F.instr(hay, F.left(needle, F.lit(ANCHOR)))
     tail = F.call_function("locate", F.right(needle, F.lit(ANCHOR)), hay, F.greatest(head, F.lit(1)))
     length = tail + ANCHOR - head
-    fits = (n > 2 * ANCHOR) & (head > 0) & (tail > 0) & (length <= n * F.lit(1.3) + ANCHOR)
+    fits = (n > 2 * ANCHOR) & (head > 0) & (tail > 0) & (length <= n * F.lit(ANCHOR_STRETCH) + ANCHOR_SLACK)
     return F.when(fits, F.struct((head - 1).alias("start"), length.alias("length")))
 
 
-def _runs(text: Column) -> Column:
-    """Hashes of all runs of four neighbouring words."""
-    ws = F.split(text, " ")
-    starts = F.when(F.size(ws) >= _RUN, F.sequence(F.lit(0), F.size(ws) - _RUN))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(_RUN)])))
-
+def _keyed(needles: DataFrame) -> DataFrame:
+    """``needles`` with __kind and __key: what every text that holds the needle's head must have.
 
-def _inner_run(needle: Column) -> Column:
-    """The run behind the needle's first word: whole words wherever the needle, or its head, occurs."""
-    ws = F.split(F.left(needle, F.lit(ANCHOR)), " ")
-    return F.when(F.size(ws) >= _RUN + 2, F.xxhash64(*[F.get(ws, F.lit(k)) for k in range(1, _RUN + 1)]))
-
-
-def pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
-    """Each needle with every text that may hold it or its head: (needle_id, needle, hay_id, hay).
-
-    Few needles are broadcast - their number is counted first. Of many, those that begin with
-    enough words meet texts by the hash of a run of words; only the rest meet every text.
+    The head's first and last piece may be parts of words, those between are whole words. Of up
+    to ``_RUN`` of these the hash is the key (kind w1, w2, ...), of a single run the one behind
+    the first piece; a needle without such a word goes by its first characters (c1 to c8).
     """
-    few = needles.select("needle_id", "needle")
-    if few.limit(NESTED + 1).count() <= NESTED:
-        return hays.join(F.broadcast(few), F.contains("hay", F.left("needle", F.lit(ANCHOR))))
-    keyed = few.withColumn("__run", _inner_run(F.col("needle")))
-    runs = hays.select("hay_id", "hay", F.explode(_runs(F.col("hay"))).alias("__run"))
-    joined = runs.join(keyed.where("__run is not null"), "__run").drop("__run")
-    short = keyed.where("__run is null").drop("__run")
-    return joined.select("hay_id", "hay", "needle_id", "needle").unionByName(hays.join(short, F.contains("hay", F.left("needle", F.lit(ANCHOR)))).select("hay_id", "hay", "needle_id", "needle"))
-
-
-def located_natively(hays: DataFrame, needles: DataFrame) -> DataFrame:
+    inner = F.split(F.left("needle", F.lit(ANCHOR)), " ")
+    rows = needles.withColumn("__inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).withColumn("__n", F.least(F.size("__inner"), F.lit(_RUN)))
+    size = F.least(F.length("needle"), F.lit(_GRAM))
+    kind = F.when(F.col("__n") > 0, F.concat(F.lit("w"), F.col("__n").cast("string"))).otherwise(F.concat(F.lit("c"), size.cast("string")))
+    text = F.when(F.col("__n") > 0, F.array_join(F.slice("__inner", F.lit(1), F.col("__n")), " ")).otherwise(F.left("needle", size))
+    return rows.where("needle <> ''").withColumn("__kind", kind).withColumn("__key", F.xxhash64("__kind", text)).drop("__inner", "__n")
+
+
+def _keys(words: Column, hay: Column, kind: str) -> Column:
+    """A text's keys of one kind."""
+    n = int(kind[1:])
+    if kind[0] == "w":
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+        of = lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(n)])
+    else:
+        starts = F.when(F.length(hay) >= n, F.sequence(F.lit(1), F.length(hay) - (n - 1)))
+        of = lambda i: F.substring(hay, i, F.lit(n))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(kind), of(i))))
+
+
+def pairs(hays: DataFrame, needles: DataFrame, group: str | None = None) -> DataFrame:
+    """(needle_id, hay_id): each needle with every text that may hold it or its head.
+
+    Texts give their keys, without the text itself, and meet needles by key. Needles of up to
+    ``BROADCAST`` rows, counted first, are broadcast, so that keys of texts don't travel either.
+    """
+    on = [group] if group else []
+    kinds = _keyed(needles.select("needle_id", "needle", *on))
+    counted = {r[0]: r[1] for r in kinds.groupBy("__kind").count().collect()}  # at most 12 rows
+    wanted = kinds.select("needle_id", "__key", *on)
+    words = hays.select("hay_id", *on, "hay", F.split("hay", " ").alias("ws"))
+    keys = [F.coalesce(_keys(F.col("ws"), F.col("hay"), k), F.array().cast("array<bigint>")) for k in sorted(counted)] or [F.array().cast("array<bigint>")]
+    own = words.select("hay_id", *on, F.explode(F.concat(*keys)).alias("__key"))
+    wanted = F.broadcast(wanted) if sum(counted.values()) <= BROADCAST else wanted
+    return own.join(wanted, ["__key", *on]).select("needle_id", "hay_id").distinct()
+
+
+def located_natively(hays: DataFrame, needles: DataFrame, group: str | None = None) -> DataFrame:
     """(needle_id, hay_id, stage, start, length, score) of the exact and the anchor stage."""
-    met = pairs(hays, needles).withColumn("exact", exact_start(F.col("hay"), F.col("needle"))).withColumn("ends", anchor_span(F.col("hay"), F.col("needle")))
+    met = pairs(hays, needles, group).join(needles.select("needle_id", "needle"), "needle_id").join(hays.select("hay_id", "hay"), "hay_id")
+    met = met.withColumn("exact", exact_start(F.col("hay"), F.col("needle"))).withColumn("ends", anchor_span(F.col("hay"), F.col("needle")))
     hit = F.when(F.col("exact").isNotNull(), F.struct(F.lit("exact").alias("stage"), F.col("exact").alias("start"), F.length("needle").alias("length"), F.lit(1.0).alias("score"))).when(
-        F.col("ends").isNotNull(), F.struct(F.lit("anchor").alias("stage"), F.col("ends.start").alias("start"), F.col("ends.length").alias("length"), F.lit(0.95).alias("score"))
+        F.col("ends").isNotNull(), F.struct(F.lit("anchor").alias("stage"), F.col("ends.start").alias("start"), F.col("ends.length").alias("length"), F.lit(ANCHOR_SCORE).alias("score"))
     )
     return met.select("needle_id", "hay_id", hit.alias("hit")).where("hit is not null").select("needle_id", "hay_id", "hit.*")
 
 
-def seeds_of(needle: str) -> list[tuple[int, str]]:
-    """(offset, piece): the needle cut into pieces of ``SEED`` characters, what is left over dropped."""
-    size = SEED if len(needle) >= SEED else max(6, len(needle))
-    return [(at, needle[at : at + size]) for at in range(0, len(needle) - size + 1, size)]
-
-
-def clustered(starts: list[int], reach: int) -> list[tuple[int, int]]:
+def clustered(starts: list[int], reach: int = SEED) -> list[tuple[int, int]]:
     """(start, votes): sorted starts, each joined to the cluster whose first start is less than ``reach`` before."""
     out: list[tuple[int, int]] = []
     for s in sorted(starts):
@@ -100,64 +123,50 @@ def clustered(starts: list[int], reach: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidate_scan(needles: list[tuple[int, str]], most: int):
-    """Texts to (needle_id, hay_id, start, votes), by one automaton over the seeds of all needles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton, uses = ahocorasick.Automaton(), {}
-        for k, (_, needle) in enumerate(needles):
-            for offset, piece in seeds_of(needle):
-                uses.setdefault(piece, []).append((k, offset))
-        for piece in uses:
-            automaton.add_word(piece, piece)
-        if uses:
-            automaton.make_automaton()
-        for batch in batches:
-            rows: list[tuple] = []
-            for hay_id, hay in zip(batch.column("hay_id").to_pylist(), batch.column("hay").to_pylist(), strict=True):
-                seen: dict[str, list[int]] = {}
-                for end, piece in automaton.iter(hay) if uses and hay else ():
-                    at = seen.setdefault(piece, [])
-                    if len(at) < most:
-                        at.append(end - len(piece) + 1)
-                starts: dict[int, list[int]] = {}
-                for piece, places in seen.items():
-                    for k, offset in uses[piece]:
-                        starts.setdefault(k, []).extend(max(0, p - offset) for p in places)
-                for k, found in starts.items():
-                    needle_id, needle = needles[k]
-                    reach = SEED if len(needle) >= SEED else max(6, len(needle))
-                    rows += [(needle_id, hay_id, s, v) for s, v in clustered(found, reach)]
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), batch.column("hay_id").slice(0, 0) if not rows else pa.array(cols[1], batch.schema.field("hay_id").type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["needle_id", "hay_id", "start", "votes"])
-
-    return run
-
-
-def candidates(hays: DataFrame, needles: DataFrame, most: int = 50) -> DataFrame:
-    """(needle_id, hay_id, start, votes) where a fuzzy match may begin; at most ``most`` hits a seed and text.
-
-    Needles travel to the texts in blocks of bounded number and size, read from their table a
-    block at a time, so the driver never holds more than one block of them at once.
+@F.pandas_udf(_CLUSTERS)
+def _clusters(starts: pd.Series) -> pd.Series:
+    return starts.map(lambda found: [{"start": s, "votes": v} for s, v in clustered(found.tolist())])
+
+
+def seeds(needles: DataFrame, *others: str) -> DataFrame:
+    """(needle_id, others, offset, piece): needles cut into pieces of ``SEED`` characters, what is left over dropped.
+
+    A needle of fewer characters would be its own only seed, so a text that has it holds it
+    exactly; one of fewer than ``LEAST_SEED`` has none. Both are left to the exact stage.
     """
-    kind = hays.schema["hay_id"].dataType.simpleString()
-    out, block, held = None, [], 0
-    schema = f"needle_id long, hay_id {kind}, start int, votes int"
+    offsets = F.sequence(F.lit(0), F.length("needle") - SEED, F.lit(SEED))
+    cut = needles.where(F.length("needle") >= SEED).select("needle_id", *others, "needle", F.explode(offsets).alias("offset"))
+    return cut.select("needle_id", *others, "offset", F.substring("needle", F.col("offset") + 1, F.lit(SEED)).alias("piece"))
+
+
+def _grams(hays: DataFrame, *others: str) -> DataFrame:
+    """(hay_id, others, at, piece): all pieces of ``SEED`` characters of all texts."""
+    # a substring is found by counting characters from the start, so texts are cut in two steps
+    cuts = F.sequence(F.lit(0), F.greatest(F.length("hay") - SEED, F.lit(0)), F.lit(PIECE))
+    parts = hays.where(F.length("hay") >= SEED).select("hay_id", *others, F.explode(F.transform(cuts, lambda c: F.struct(c.alias("at"), F.substring(F.col("hay"), c + 1, F.lit(PIECE + SEED - 1)).alias("text")))).alias("part"))
+    parts = parts.select("hay_id", *others, F.col("part.at").alias("base"), F.col("part.text").alias("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - (SEED - 1)), lambda i: F.substring(F.col("text"), i, F.lit(SEED)))
+    return parts.select("hay_id", *others, "base", F.posexplode(grams).alias("k", "piece")).select("hay_id", *others, (F.col("base") + F.col("k")).alias("at"), "piece")
 
-    def scanned(block: list[tuple[int, str]]) -> DataFrame:
-        return hays.select("hay_id", "hay").mapInArrow(_candidate_scan(block, most), schema)
 
-    for row in needles.select("needle_id", "needle").toLocalIterator():
-        if block and (len(block) >= BLOCK or held + len(row[1] or "") > BLOCK_CHARS):
-            part = scanned(block)
-            out = part if out is None else out.unionByName(part)
-            block, held = [], 0
-        block.append((row[0], row[1] or ""))
-        held += len(row[1] or "")
-    part = scanned(block)
-    return part if out is None else out.unionByName(part)
+def candidates(hays: DataFrame, needles: DataFrame, most: int = SEED_HITS, group: str | None = None) -> DataFrame:
+    """(needle_id, hay_id, start, votes) where a fuzzy match may begin; the first ``most`` hits of a seed in a text count.
+
+    Seeds, counted first, are broadcast in blocks of at most about ``BROADCAST``, one pass over
+    the texts each, so the pieces of texts, one a character, never leave their task.
+    """
+    on = [group] if group else []
+    cut = seeds(needles.select("needle_id", "needle", *on), *on)
+    blocks = max(1, -(-cut.count() // BROADCAST))
+    grams, hits = _grams(hays, *on), None
+    for k in range(blocks):
+        part = cut if blocks == 1 else cut.where(F.pmod(F.xxhash64("piece"), F.lit(blocks)) == k)
+        met = grams.join(F.broadcast(part), ["piece", *on]).select("needle_id", "hay_id", "offset", "at")
+        hits = met if hits is None else hits.unionByName(met)
+    first = hits.groupBy("needle_id", "hay_id", "offset").agg(F.slice(F.array_sort(F.collect_list("at")), 1, most).alias("ats"))
+    starts = first.select("needle_id", "hay_id", F.transform("ats", lambda a: F.greatest(F.lit(0), a - F.col("offset"))).alias("starts"))
+    found = starts.groupBy("needle_id", "hay_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return found.select("needle_id", "hay_id", F.explode(_clusters("starts")).alias("c")).select("needle_id", "hay_id", "c.start", "c.votes")
 
 
 def _best_blocks(window: str, needle: str, least: int, floor: float) -> tuple[int, int, float] | None:
@@ -167,7 +176,7 @@ def _best_blocks(window: str, needle: str, least: int, floor: float) -> tuple[in
     score = sum(b.size for b in blocks) / len(needle)
     first, last = blocks[0], blocks[-1]
     length = last.a + last.size - first.a
-    return (first.a, length, score) if score >= floor and length <= 1.6 * len(needle) + 40 else None
+    return (first.a, length, score) if score >= floor and length <= STRETCH * len(needle) + SLACK else None
 
 
 def window_match(floor: float):
@@ -181,44 +190,45 @@ def window_match(floor: float):
     return match
 
 
-def located_fuzzily(hays: DataFrame, needles: DataFrame, floor: float = 0.55, top: int = 5, within: str = "hay_id", order: str | None = None) -> DataFrame:
+def located_fuzzily(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, top: int = TOP, within: str = "hay_id", order: str | None = None, settled: DataFrame | None = None, group: str | None = None) -> DataFrame:
     """(needle_id, hay_id, stage, start, length, score): of the ``top`` candidates by votes, the best window.
 
     ``within`` is what candidates compete in: one text, or a book of several texts in the order
-    of ``order``, whose candidates are ranked together.
+    of ``order``, whose candidates are ranked together. Pairs (needle_id, ``within``) of
+    ``settled`` are left out before anything is compared.
     """
-    found = candidates(hays, needles)
+    found = candidates(hays, needles, group=group)
     place = hays.select("hay_id", *[c for c in {within, order} if c and c != "hay_id"])
     if len(place.columns) > 1:
         found = found.join(place, "hay_id")
+    if settled is not None:
+        found = found.join(settled.select("needle_id", within).distinct(), ["needle_id", within], "left_anti")
     sequence = [F.col(order)] if order else []
     ranked = Window.partitionBy("needle_id", within).orderBy(F.desc("votes"), *sequence, "start")
     best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
-    near = best.join(hays.select("hay_id", "hay"), "hay_id").join(needles.select("needle_id", "needle"), "needle_id")
-    low = F.greatest(F.lit(0), F.col("start") - 40)
-    high = F.least(F.length("hay"), F.col("start") + F.length("needle") + 40)
+    near = best.join(needles.select("needle_id", "needle"), "needle_id").join(hays.select("hay_id", "hay"), "hay_id")
+    low = F.greatest(F.lit(0), F.col("start") - MARGIN)
+    high = F.least(F.length("hay"), F.col("start") + F.length("needle") + MARGIN)
     near = near.withColumn("low", low).withColumn("window", F.substring("hay", F.col("low") + 1, high - F.col("low")))
     scored = near.select("needle_id", within, "hay_id", "rank", "low", window_match(floor)("window", "needle", least_block(F.col("needle"))).alias("m")).where("m.score is not null")
     pick = F.max_by(F.struct("hay_id", (F.col("low") + F.col("m.start")).alias("start"), F.col("m.length").alias("length"), F.col("m.score").alias("score")), F.struct(F.col("m.score"), -F.col("rank")))
     return scored.groupBy("needle_id", within).agg(pick.alias("p")).select("needle_id", "p.hay_id", F.lit("fuzzy").alias("stage"), "p.start", "p.length", "p.score")
 
 
-def located(hays: DataFrame, needles: DataFrame, floor: float = 0.55) -> DataFrame:
+def located(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, group: str | None = None) -> DataFrame:
     """The whole cascade for every pair of text and needle: a row for each pair that matches."""
-    native = located_natively(hays, needles)
-    fuzzy = located_fuzzily(hays, needles, floor)
-    return native.unionByName(fuzzy.join(native.select("needle_id", "hay_id"), ["needle_id", "hay_id"], "left_anti"))
+    native = located_natively(hays, needles, group)
+    return native.unionByName(located_fuzzily(hays, needles, floor, settled=native, group=group))
 
 
-def located_in_books(docs: DataFrame, needles: DataFrame, floor: float = 0.55) -> DataFrame:
+def located_in_books(docs: DataFrame, needles: DataFrame, floor: float = FLOOR, group: str | None = None) -> DataFrame:
     """One place for each needle and book of several documents (book_id, spine, hay_id, hay).
 
     An exact match in any document comes before an anchored one in any, and that before a fuzzy
     one; within the first two stages the first document wins.
     """
-    native = located_natively(docs, needles).join(docs.select("hay_id", "book_id", "spine"), "hay_id")
+    native = located_natively(docs, needles, group).join(docs.select("hay_id", "book_id", "spine"), "hay_id")
     first = F.min_by(F.struct("hay_id", "stage", "start", "length", "score"), F.struct(-F.col("score"), F.col("spine")))
     native = native.groupBy("needle_id", "book_id").agg(first.alias("p")).select("needle_id", "book_id", "p.*")
-    fuzzy = located_fuzzily(docs, needles, floor, within="book_id", order="spine").join(docs.select("hay_id", "book_id"), "hay_id")
-    left = fuzzy.join(native.select("needle_id", "book_id"), ["needle_id", "book_id"], "left_anti")
-    return native.unionByName(left.select(*native.columns))
+    fuzzy = located_fuzzily(docs, needles, floor, within="book_id", order="spine", settled=native, group=group).join(docs.select("hay_id", "book_id"), "hay_id")
+    return native.unionByName(fuzzy.select(*native.columns))

@@ -40,15 +40,14 @@ def test_first_occurrence_and_many_needles(spark):
     text = prose(2, 120)
     twice = text + " | " + text
     many = [text[i : i + 90] for i in range(0, 400, 5)]
-    assert len(many) > locate.NESTED
+    many += [text[3:15], text[7:9], "nowhere at all"]
     got = {(r["needle_id"], r["hay_id"], r["start"]) for r in locate.located_natively(hays(spark, twice, "nothing"), needles(spark, *many)).where("stage = 'exact'").collect()}
-    assert got == {(i, 0, twice.find(n)) for i, n in enumerate(many)}
+    assert got == {(i, h, hay.find(n)) for i, n in enumerate(many) for h, hay in enumerate([twice, "nothing"]) if n in hay}
 
 
-def test_seeds_and_clusters():
-    assert locate.seeds_of("abcdefghijklmnopqrstuvwxyz") == [(0, "abcdefghijkl"), (12, "mnopqrstuvwx")]
-    assert locate.seeds_of("abcdefg") == [(0, "abcdefg")]
-    assert locate.seeds_of("abcde") == []
+def test_seeds_and_clusters(spark):
+    cut = locate.seeds(needles(spark, "abcdefghijklmnopqrstuvwxyz", "abcdefg", "")).collect()
+    assert [(r["needle_id"], r["offset"], r["piece"]) for r in cut] == [(0, 0, "abcdefghijkl"), (0, 12, "mnopqrstuvwx")]
     assert locate.clustered([30, 0, 11, 12, 22], 12) == [(0, 2), (12, 2), (30, 1)]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values of the stores and their payloads: dataset numbers, colours, the epoch, field names.
 HIGHLIGHT, BOOKMARK, NOTE, UNDERLINE = 1, 2, 3, 12
 #: Seconds from 1970 to the other application's epoch, 2001.
 EPOCH_2001 = 978307200

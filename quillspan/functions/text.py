@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Character classes that compare equal: apostrophes, quotation marks, dashes, ellipsis, spaces.
+# Characters that compare equal - apostrophes, quotation marks, dashes, ellipsis, spaces - and
+# the words of a title that carry no meaning.
 _FOLDS = {
     "'": "\u2018\u2019\u02bc",
     '"': "\u201c\u201d\u201e",

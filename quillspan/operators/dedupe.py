@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.similarity import similar
 from quillspan.functions.text import related, stripped
+from quillspan.operators.locate import pairs
 
+# Fixed value: what a clip says whose text the device kept back.
 LIMIT_NOTICE = "<You have reached the clipping limit"
 
 
@@ -44,20 +46,37 @@ def without_covered(rows: DataFrame, known: DataFrame, group: str = "book_id", s
     return rows.join(k, (F.col(group) == F.col("__g")) & met, "left_anti")
 
 
+def _resembling(rows: DataFrame, known: DataFrame, threshold: float, group: str) -> DataFrame:
+    """(group, norm): the texts of ``rows`` that resemble a known one of their group.
+
+    Equal texts are compared once. Texts that contain another meet it by a key of the smaller
+    one; texts of like length meet in bands of lengths, whose step is the least quotient of two
+    lengths that may be similar, so that only neighbouring bands meet.
+    """
+    mine = rows.where("norm <> ''").select(group, "norm").distinct()
+    theirs = known.where("norm <> ''").select(group, "norm").distinct()
+    key = F.md5(F.concat_ws(":", F.col(group).cast("string"), "norm").cast("binary"))
+
+    def named(texts: DataFrame, kind: str) -> DataFrame:
+        return texts.select(group, key.alias(f"{kind}_id"), F.col("norm").alias(kind))
+
+    inside = pairs(named(theirs, "hay"), named(mine, "needle"), group).unionByName(pairs(named(mine, "hay"), named(theirs, "needle"), group).select(F.col("hay_id").alias("needle_id"), F.col("needle_id").alias("hay_id")))
+    own, other = named(mine, "needle"), named(theirs, "hay")
+    met = inside.distinct().join(own, "needle_id").join(other.drop(group), "hay_id").where(F.contains("hay", F.col("needle")) | F.contains("needle", F.col("hay")))
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / min(max(threshold, 0.05), 0.95)))).cast("int")
+    a = own.withColumn("__band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band("needle") + d)))
+    near = a.join(other.withColumn("__band", band("hay")), [group, "__band"]).where(similar(F.col("needle"), F.col("hay"), threshold))
+    return met.select(group, F.col("needle").alias("norm")).unionByName(near.select(group, F.col("needle").alias("norm"))).distinct()
+
+
 def without_similar(rows: DataFrame, known: DataFrame, threshold: float = 0.8, group: str = "book_id") -> DataFrame:
     """Rows (row_id, norm) whose text resembles no known one of the group; equal known texts count once."""
-    k = known.select(F.col(group).alias("__g"), F.col("norm").alias("__n")).distinct()
-    near = rows.select("row_id", group, "norm").join(k, F.col(group) == F.col("__g"))
-    found = near.where(similar(F.col("norm"), F.col("__n"), threshold)).select("row_id").distinct()
-    return rows.join(found, "row_id", "left_anti").select(*rows.columns)
+    return rows.join(_resembling(rows, known, threshold, group), [group, "norm"], "left_anti").select(*rows.columns)
 
 
 def with_similar(rows: DataFrame, known: DataFrame, threshold: float = 0.85, group: str = "book_id") -> DataFrame:
     """Rows (row_id, norm) that some known text of the group corroborates."""
-    k = known.select(F.col(group).alias("__g"), F.col("norm").alias("__n")).distinct()
-    near = rows.select("row_id", group, "norm").join(k, F.col(group) == F.col("__g"))
-    found = near.where(similar(F.col("norm"), F.col("__n"), threshold)).select("row_id").distinct()
-    return rows.join(found, "row_id", "left_semi").select(*rows.columns)
+    return rows.join(_resembling(rows, known, threshold, group), [group, "norm"], "left_semi").select(*rows.columns)
 
 
 def first_per_start(rows: DataFrame, known_ids: DataFrame, group: str = "book_id") -> DataFrame:
@@ -81,6 +100,11 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return lacking(after, before).withColumn("op", F.lit("added")).unionByName(lacking(before, after).withColumn("op", F.lit("removed")))
 
 
+def changed_actions(diff: DataFrame, created: DataFrame, action: str = "action") -> DataFrame:
+    """Of the rows that a ``snapshot_diff`` says were added, those whose action isn't one of ``created``."""
+    return diff.where("op = 'added'").join(created.select(action).distinct(), action, "left_anti").select(*diff.columns)
+
+
 def with_lineage(*sources: tuple[str, DataFrame]) -> DataFrame:
     """All rows of the named sources with a column that says whence; repeats stay."""
     out = None

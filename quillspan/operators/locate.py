@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions.text import least_block
+from quillspan.storage import written
 
 # Fixed values of the search: the anchor's head and tail, its score and its slack; the seed's
 # length and least length, hits a seed; the window's margin, the span's slack, candidates, floor.
@@ -217,7 +218,7 @@ def located_fuzzily(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, t
 
 def located(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, group: str | None = None) -> DataFrame:
     """The whole cascade for every pair of text and needle: a row for each pair that matches."""
-    native = located_natively(hays, needles, group)
+    native = written(located_natively(hays, needles, group), "located")
     return native.unionByName(located_fuzzily(hays, needles, floor, settled=native, group=group))
 
 
@@ -229,6 +230,6 @@ def located_in_books(docs: DataFrame, needles: DataFrame, floor: float = FLOOR,
     """
     native = located_natively(docs, needles, group).join(docs.select("hay_id", "book_id", "spine"), "hay_id")
     first = F.min_by(F.struct("hay_id", "stage", "start", "length", "score"), F.struct(-F.col("score"), F.col("spine")))
-    native = native.groupBy("needle_id", "book_id").agg(first.alias("p")).select("needle_id", "book_id", "p.*")
+    native = written(native.groupBy("needle_id", "book_id").agg(first.alias("p")).select("needle_id", "book_id", "p.*"), "located")
     fuzzy = located_fuzzily(docs, needles, floor, within="book_id", order="spine", settled=native, group=group).join(docs.select("hay_id", "book_id"), "hay_id")
     return native.unionByName(fuzzy.select(*native.columns))

@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.similarity import ratio
 from quillspan.functions.text import overlap, title_key, title_tokens
 
-THRESHOLD = 0.75
-PENALTY = 0.25
-#: Largest number of library rows that is broadcast.
-BROADCAST = 200_000
+# The least score, and what authors without a common word take from it.
+THRESHOLD, PENALTY = 0.75, 0.25
+#: Catalogues of at most so many pairs, counted first, are compared pair by pair.
+PAIRS = 1 << 20
+
+
+def _bag(text: Column) -> Column:
+    """The characters of a text, each with its number among its equals, so that bags become sets."""
+    sorted_chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.transform(sorted_chars, lambda c, i: F.concat(c, (i + 1 - F.array_position(sorted_chars, c)).cast("string")))
+
+
+def _ranked(sets: DataFrame, freq: DataFrame, keep: Column) -> DataFrame:
+    """``sets`` (..., items) with ``all`` items and the ``prefix``: the ``keep`` rarest of its ``size`` items."""
+    names = [c for c in sets.columns if c != "items"]
+    each = sets.select(*names, F.explode("items").alias("item")).join(freq, "item")
+    found = each.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+    found = found.withColumn("size", F.size("ranked"))
+    return found.select(*names, F.transform("ranked", lambda x: x["item"]).alias("all"), F.transform(F.slice("ranked", F.lit(1), keep.cast("int")), lambda x: x["item"]).alias("prefix"))
+
+
+def _met(mine: DataFrame, theirs: DataFrame, left: str, right: str) -> DataFrame:
+    a = mine.select("title", "author", F.explode(left).alias("item"))
+    b = theirs.select("seq", F.explode(right).alias("item"))
+    return a.join(b, "item").select("title", "author", "seq").distinct()
+
+
+def _candidates(mine: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
+    """(title, author, seq) of all pairs that can reach the threshold.
+
+    Overlap: of the smaller token set at least the share ``threshold`` is common, so the rarest
+    tokens of one of the two, as many as may be missing and one more, meet a token of the other.
+    Ratio: the characters in common number at least threshold / (2 - threshold) of either
+    title's, so the rarest characters of both meet. Nothing that could match is left out.
+    """
+    share = lambda part: F.col("size") - F.ceil(F.col("size") * F.lit(part) - 1e-9) + 1
+    found = None
+    for column, part in (("tokens", threshold), ("bag", threshold / (2 - threshold))):
+        a = mine.select("title", "author", F.col(column).alias("items"))
+        b = theirs.select("seq", F.col(f"lib_{column}").alias("items"))
+        freq = a.select(F.explode("items").alias("item")).unionByName(b.select(F.explode("items").alias("item"))).groupBy("item").agg(F.count("*").alias("n"))
+        a, b = _ranked(a, freq, share(part)), _ranked(b, freq, share(part))
+        met = _met(a, b, "prefix", "all").unionByName(_met(a, b, "all", "prefix")) if column == "tokens" else _met(a, b, "prefix", "prefix")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def best_match(titles: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -20,33 +61,25 @@ def best_match(titles: DataFrame, library: DataFrame, threshold: float = THRESHO
     ``library`` has (seq, lib_key, lib_title, lib_author); the row with the smallest seq wins a tie. The
     score is the larger of token overlap and sequence ratio, less a penalty if both authors are
     known and share no word. A title without meaningful words matches nothing. Titles are
-    compared once each, however many rows carry them. The library side is broadcast only if its
-    counted rows allow; a larger one is compared block by block of its seq.
+    compared once each, however many rows carry them, and, unless both sides are small, only with
+    library rows that share enough of their rare words or characters.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie above 0 and not above 1")
     author_tokens = lambda c: title_tokens(F.coalesce(F.col(c), F.lit("")))
-    mine = titles.select("title", "author").distinct().withColumn("tokens", title_tokens(F.col("title"))).withColumn("norm", title_key(F.col("title"))).withColumn("authors", author_tokens("author")).where(F.size("tokens") > 0)
-    theirs = library.select("seq", "lib_key", "lib_title", "lib_author").withColumn("lib_tokens", title_tokens(F.col("lib_title"))).withColumn("lib_norm", title_key(F.col("lib_title"))).withColumn("lib_authors", author_tokens("lib_author")).where(F.size("lib_tokens") > 0)
-
-    def scored(part: DataFrame) -> DataFrame:
-        both = mine.crossJoin(F.broadcast(part))
-        apart = (F.size("authors") > 0) & (F.size("lib_authors") > 0) & ~F.arrays_overlap("authors", "lib_authors")
-        fine = both.withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
-        # a full overlap can't be bettered by the ratio, and a ratio is bounded by the lengths
-        a, b = F.length("norm"), F.length("lib_norm")
-        bound = 2 * F.least(a, b) / F.greatest(a + b, F.lit(1))
-        useful = (F.col("shared") < 1) & (bound - F.col("less") >= threshold) & (bound > F.col("shared"))
-        like = F.coalesce(ratio(F.when(useful, F.col("norm")), F.when(useful, F.col("lib_norm"))), F.lit(0.0))
-        fine = fine.withColumn("score", F.greatest(F.col("shared"), like) - F.col("less")).where((F.col("score") >= threshold) & (F.col("score") > 0))
-        return fine.groupBy("title", "author").agg(F.max_by(F.struct("lib_key", "score", "seq"), F.struct("score", -F.col("seq"))).alias("m"))
-
-    blocks = -(-library.count() // BROADCAST) or 1
-    if blocks == 1:
-        best = scored(theirs)
-    else:
-        parts = [scored(theirs.where(F.pmod(F.xxhash64("seq"), F.lit(blocks)) == k)) for k in range(blocks)]
-        best = parts[0]
-        for p in parts[1:]:
-            best = best.unionByName(p)
-        best = best.groupBy("title", "author").agg(F.max_by("m", F.struct("m.score", -F.col("m.seq"))).alias("m"))
+    mine = titles.select("title", "author").distinct().withColumn("tokens", title_tokens(F.col("title"))).withColumn("norm", title_key(F.col("title"))).withColumn("authors", author_tokens("author")).where(F.size("tokens") > 0).withColumn("bag", _bag(F.col("norm")))
+    theirs = library.select("seq", "lib_key", "lib_title", "lib_author").withColumn("lib_tokens", title_tokens(F.col("lib_title"))).withColumn("lib_norm", title_key(F.col("lib_title"))).withColumn("lib_authors", author_tokens("lib_author")).where(F.size("lib_tokens") > 0).withColumn("lib_bag", _bag(F.col("lib_norm")))
+    pairs = mine.count() * theirs.count()
+    met = _candidates(mine, theirs, threshold).toDF("__t", "__a", "__s") if pairs > PAIRS else None
+    both = mine.drop("bag").crossJoin(F.broadcast(theirs.drop("lib_bag"))) if met is None else met.join(mine.drop("bag"), (F.col("__t") == F.col("title")) & F.col("__a").eqNullSafe(F.col("author"))).join(theirs.drop("lib_bag"), F.col("__s") == F.col("seq"))
+    apart = (F.size("authors") > 0) & (F.size("lib_authors") > 0) & ~F.arrays_overlap("authors", "lib_authors")
+    fine = both.withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
+    # a full overlap can't be bettered by the ratio, and a ratio is bounded by the lengths
+    a, b = F.length("norm"), F.length("lib_norm")
+    bound = 2 * F.least(a, b) / F.greatest(a + b, F.lit(1))
+    useful = (F.col("shared") < 1) & (bound - F.col("less") >= threshold) & (bound > F.col("shared"))
+    like = F.coalesce(ratio(F.when(useful, F.col("norm")), F.when(useful, F.col("lib_norm"))), F.lit(0.0))
+    fine = fine.withColumn("score", F.greatest(F.col("shared"), like) - F.col("less")).where((F.col("score") >= threshold) & (F.col("score") > 0))
+    best = fine.groupBy("title", "author").agg(F.max_by(F.struct("lib_key", "score", "seq"), F.struct("score", -F.col("seq"))).alias("m"))
     best = best.select(F.col("title").alias("__t"), F.col("author").alias("__a"), "m.lib_key", "m.score")
     return titles.join(best, (F.col("title") == F.col("__t")) & F.col("author").eqNullSafe(F.col("__a"))).select("key", "lib_key", "score")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.storage import written
+
 ACCEPT = 0.85
+#: Ranges of keys, about, in which rows are numbered.
+RANGES = 200
 
 
 def to_addresses(min_score: float = ACCEPT, accept_weak: float | None = None) -> Column:
@@ -55,17 +59,20 @@ def plan(rows: DataFrame, limit: int | None = None) -> DataFrame:
 def numbered(rows: DataFrame, order: list[Column], name: str = "plan_seq", base: Column | int = 0) -> DataFrame:
     """``rows`` with base + 1, 2, ... in ``order``.
 
-    Rows are range-partitioned in that order and numbered within partitions; only the
-    partitions' counts meet in one task.
+    Rows are dealt to about ``RANGES`` ranges of their keys and numbered within these; only the
+    ranges' counts meet in one task. The bounds come from the rows themselves, by a hash, so that
+    a task that runs again after a lost executor deals as the first did.
     """
-    sort = [F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("__k")]
-    spread = rows.select("*", *sort).repartitionByRange(F.col("__k")).withColumn("__p", F.spark_partition_id()).persist()
-    sizes = spread.groupBy("__p").count()
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    keyed = written(rows.withColumn("__k", key), "numbered")
+    each = max(1, keyed.count() // RANGES)
+    bounds = keyed.where(F.pmod(F.xxhash64("__k"), F.lit(each)) == 0).agg(F.collect_set("__k").alias("__b"))
+    dealt = keyed.crossJoin(F.broadcast(bounds)).withColumn("__p", F.size(F.filter("__b", lambda b: b <= F.col("__k")))).drop("__b")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
+    starts = dealt.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
     own = F.row_number().over(Window.partitionBy("__p").orderBy("__k"))
     base = base if isinstance(base, Column) else F.lit(base)
-    return spread.withColumn("__r", own).join(F.broadcast(starts), "__p").withColumn(name, (base + F.col("__s") + F.col("__r")).cast("bigint")).drop("__k", "__p", "__s", "__r")
+    return dealt.withColumn("__r", own).join(F.broadcast(starts), "__p").withColumn(name, (base + F.col("__s") + F.col("__r")).cast("bigint")).drop("__k", "__p", "__s", "__r")
 
 
 def outcome_counts(rows: DataFrame, by: str = "title") -> DataFrame:
@@ -81,8 +88,12 @@ def round_trip_class(start: Column, end: Column, got_start: Column, got_end: Col
 
 
 def validation(rows: DataFrame, by: str = "book_id", gate: float = 0.95) -> DataFrame:
-    """Counts of ``class`` by book and, with a null book, in all; rate and whether it passes the gate."""
-    counts = [F.count("*").alias("total"), *[F.count_if(F.col("class") == c).alias(c) for c in ("exact", "close", "miss")]]
+    """Counts of ``class`` by book and, with a null book, in all; rate and whether it passes the gate.
+
+    If the rows say what is ``corroborated``, that is counted too.
+    """
+    sure = [F.count_if("corroborated").alias("corroborated")] if "corroborated" in rows.columns else []
+    counts = [*sure, F.count("*").alias("total"), *[F.count_if(F.col("class") == c).alias(c) for c in ("exact", "close", "miss")]]
     out = rows.rollup(by).agg(*counts)
     return out.withColumn("rate", F.col("exact") / F.col("total")).withColumn("passes", F.col("rate") >= gate)
 
@@ -90,3 +101,15 @@ def validation(rows: DataFrame, by: str = "book_id", gate: float = 0.95) -> Data
 def counts_by_title(clips: DataFrame) -> DataFrame:
     """(title, n) by falling n; of equal counts, the title seen first comes first."""
     return clips.groupBy("title").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).orderBy(F.desc("n"), "first_seq")
+
+
+def report(rows: DataFrame, width: int = 70) -> DataFrame:
+    """(title, kind, seq, line) for people: what was missed, what was weak, with its score, and what matched no book.
+
+    ``rows``: (title, seq, text, outcome, score). A title without a book has one line with its number of rows.
+    """
+    said = F.left("text", F.lit(width))
+    line = F.when(F.col("outcome") == "miss", F.concat(F.lit("MISS: "), said)).when(F.col("outcome") == "weak", F.concat(F.lit("WEAK ("), F.format_number("score", 2), F.lit("): "), said))
+    single = rows.where(F.col("outcome").isin("miss", "weak")).select("title", F.upper("outcome").alias("kind"), "seq", line.alias("line"))
+    lost = rows.where("outcome = 'unmatched'").groupBy("title").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    return single.unionByName(lost.select("title", F.lit("UNMATCHED").alias("kind"), "seq", F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("line")))

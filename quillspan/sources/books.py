@@ -92,7 +92,7 @@ def palm_text(data: bytes) -> tuple[bytes, str]:
     return raw[:length], encoding
 
 
-def read_palm(spark: SparkSession, path: str) -> DataFrame:
+def read_palm(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, raw, encoding, text_length, text, first, last, norm, norm_map, reason): a row a file."""
     schema = "path string, raw binary, encoding string, text_length int, text string, first array<int>, last array<int>, reason string"
 
@@ -111,7 +111,7 @@ def read_palm(spark: SparkSession, path: str) -> DataFrame:
     return books.withColumn("norm", normalized(F.col("text"))).withColumn("norm_map", normal_map(F.col("text")))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, text_length, text, positions, norm, norm_map) from JSON files {max_position, chunks: [[pid, text]]}."""
     from quillspan.operators.spans import chunk_positions, chunk_text
 
@@ -230,7 +230,7 @@ def spine(book: zipfile.ZipFile) -> list[tuple[int, str, str, str]]:
     return [(i, ref, f"/{at}/{2 * (i + 1)}[{ref}]", posixpath.normpath(posixpath.join(folder, hrefs[ref]))) for i, ref in listed if hrefs.get(ref)]
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
+def read_epub(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, spine, idref, step, runs, text, norm, norm_map, reason): a row a document of each EPUB file."""
     schema = "path string, spine int, idref string, step string, runs array<struct<steps: array<struct<index: int, assertion: string>>, text: string, doc_start: int>>, reason string"
 

@@ -75,13 +75,21 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        """As many as the option says, by rowid; a table without rowids is read as one."""
         n = max(1, int(self.options.get("partitions", "1")))
+        if n > 1:
+            with _open(self.options["path"]) as con:
+                try:
+                    con.execute(f"SELECT rowid FROM {_quoted(self.options['table'])} LIMIT 0")
+                except sqlite3.OperationalError:
+                    n = 1
         return [_Rows(k, n) for k in range(n)]
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
         where = list(self.conditions)
         if partition.of > 1:
-            where.append(f"rowid % {partition.of} = {partition.k}")
+            n = partition.of  # the remainder of a negative rowid is negative
+            where.append(f"((rowid % {n}) + {n}) % {n} = {partition.k}")
         columns = ", ".join(_quoted(f.name) for f in self.fields)
         sql = f"SELECT {columns} FROM {_quoted(self.options['table'])}" + (" WHERE " + " AND ".join(where) if where else "")
         casts = [_CASTS[type(f.dataType)] for f in self.fields]
@@ -95,6 +103,7 @@ _CASTS = {LongType: int, DoubleType: float, StringType: lambda v: v.decode("utf-
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default, and a reader that pushes is then refused
     return spark.read.format("quillspan_sqlite").option("path", path).option("table", name).load()
 
 
@@ -127,6 +136,11 @@ def highlights(spark: SparkSession, path: str, asset: str | None = None) -> Data
     )
 
 
+def ground_truth(rows: DataFrame, asset: str) -> DataFrame:
+    """Of ``highlights``, an asset's with an address of the kind that we make."""
+    return rows.where((F.col("asset_id") == asset) & F.startswith("location", F.lit("epubcfi")))
+
+
 def known_keys(rows: DataFrame, normal) -> tuple[DataFrame, DataFrame]:
     """(asset_id, address) and (asset_id, norm) that exist already, each once."""
     return rows.where("location is not null").select("asset_id", F.col("location").alias("address")).distinct(), rows.select("asset_id", normal(F.col("text")).alias("norm")).distinct()
@@ -134,11 +148,11 @@ def known_keys(rows: DataFrame, normal) -> tuple[DataFrame, DataFrame]:
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Books of the reader's catalogue, ids cleaned, with what follows from id and format."""
-    rows = table(spark, path, "ZBOOK").where("ZBOOKID is not null")
+    rows = table(spark, path, "ZBOOK").where("ZBOOKID is not null and ZDISPLAYTITLE is not null and ZPATH is not null")
     mime, key = F.coalesce("ZMIMETYPE", F.lit("")), P.clean_id(F.col("ZBOOKID"))
     kind = P.content_type(key)
     guid = F.coalesce("ZPERASINGUID", F.lit(""))
-    return rows.select(key.alias("book_id"), F.col("ZDISPLAYTITLE").alias("title"), F.col("ZPATH").alias("path"), mime.alias("mime"), guid.alias("guid"), F.col("ZRAWMAXPOSITION").alias("max_position"), kind.alias("content_type"), P.dataset_id(key, kind, guid).alias("dataset_id"), F.contains(mime, F.lit("mobipocket")).alias("is_mobi"), F.contains(mime, F.lit("kfx")).alias("is_kfx"))
+    return rows.select(key.alias("book_id"), F.col("ZDISPLAYTITLE").alias("title"), F.col("ZPATH").alias("path"), mime.alias("mime"), guid.alias("guid"), F.col("ZRAWMAXPOSITION").alias("max_position"), kind.alias("content_type"), P.dataset_id(key, kind, guid).alias("dataset_id"), F.lit("").alias("author"), F.contains(mime, F.lit("mobipocket")).alias("is_mobi"), F.contains(mime, F.lit("kfx")).alias("is_kfx"))
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Locating, matching, deduplication, spans and plans against plain Python definitions."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,13 +61,44 @@ def test_books_prefer_stage_then_spine(spark):
     assert [(r["hay_id"], r["stage"]) for r in row] == [(2, "exact")]
 
 
-def test_best_match(spark):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_best_match(spark, monkeypatch, small):
+    monkeypatch.setattr(match, "PAIRS", small)
     titles = spark.createDataFrame([(1, "Walden", "Thoreau"), (2, "the of", None), (3, "A Modern Utopia -- H. G. Wells", None), (4, "Nothing alike", None), (5, "Walden", "Somebody Else")], "key long, title string, author string")
     library = spark.createDataFrame([(1, "a", "Walden, or Life in the Woods", "Henry Thoreau"), (2, "b", "Walden Pond", "H. Thoreau"), (3, "c", "Modern Utopias", None)], "seq long, lib_key string, lib_title string, lib_author string")
     got = {r["key"]: r["lib_key"] for r in match.best_match(titles, library).collect()}
     assert got == {1: "a", 3: "c", 5: "a"}
 
 
+def test_best_match_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(match, "PAIRS", 0)
+    rng = random.Random(4)
+    names = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    spoilt = ["".join(c if rng.random() < 0.85 else rng.choice("aeiou ") for c in n) for n in names]
+    titles = spark.createDataFrame([(i, n, None) for i, n in enumerate(spoilt)], "key long, title string, author string")
+    library = spark.createDataFrame([(i, str(i), n, None) for i, n in enumerate(names)], "seq long, lib_key string, lib_title string, lib_author string")
+    got = {r["key"]: (r["lib_key"], round(r["score"], 9)) for r in match.best_match(titles, library).collect()}
+    monkeypatch.setattr(match, "PAIRS", 1 << 20)
+    assert got == {r["key"]: (r["lib_key"], round(r["score"], 9)) for r in match.best_match(titles, library).collect()}
+
+    def tokens(x):
+        return {w for w in x.lower().split() if w not in ("the", "a", "an", "of", "and", "in", "to", "for", "on", "s")}
+
+    want = {}
+    for i, n in enumerate(spoilt):
+        a, key = tokens(n), " ".join(n.lower().split())
+        best = (0.0, None)
+        for j, m in enumerate(names):
+            b = tokens(m)
+            if a and b:
+                score = max(len(a & b) / min(len(a), len(b)), SequenceMatcher(None, key, " ".join(m.split())).ratio())
+                if score > best[0]:
+                    best = (score, str(j))
+        if best[0] >= 0.75:
+            want[i] = (best[1], round(best[0], 9))
+    assert got == want
+
+
 def test_superseded_equals_fold(spark):
     rng = random.Random(9)
     rows = []

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
+from .workers import bounded, tidy
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
     written tables, and both sides of the joins are such tables, so that a hub can be split.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    edges = written(bounded(edges).mapInArrow(tidy(_forest), "u long, v long").distinct(), "forest")
     while edges.groupBy("u").count().where("count > 1").limit(1).count():
         edges = written(_climbed(_climbed(edges)), "parents")
     while True:

@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from .storage import written
 from .tokens import letter_streams, mix, text_blocks
+from .workers import bounded, tidy
 
 ORDER = 4
 #: Most cells, n-grams by languages, of a model that is broadcast.
@@ -240,7 +241,7 @@ def _sums(model: Model, texts: list[str | None], lo: int = 0, hi: int = 1 << 32)
 def train(docs: DataFrame) -> Model | Spread:
     """Models from (doc_id, text, lang): all its rows with a text and a language are training texts."""
     known = docs.where("text is not null and lang is not null").select("text", "lang", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(CALIBRATION)) == 0).alias("apart"))
-    full = known.select("lang", "apart", "text").mapInArrow(_counts, "lang string, apart boolean, gram string, n long")
+    full = bounded(known).select("lang", "apart", "text").mapInArrow(tidy(_counts), "lang string, apart boolean, gram string, n long")
     full = written(full.groupBy("lang", "apart", "gram").agg(F.sum("n").alias("n")), "char-counts")
     langs = sorted(r[0] for r in full.select("lang").distinct().collect())
     if not langs:
@@ -323,7 +324,7 @@ def _with_sums(docs: DataFrame, model: Model | Spread, text: str) -> DataFrame:
                 sums = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, sums, pa.array(chars), pa.array(letters)], names=schema.names)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = bounded(docs).mapInArrow(tidy(run), schema)
         if isinstance(model, Spread):
             docs = written(docs, "char-sums")
             held.destroy()
@@ -387,4 +388,4 @@ def predict(docs: DataFrame, model: Model | Spread, text: str = "text", reject:
                 lang = [x if y else UNKNOWN for x, y in zip(lang, ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(tidy(run), schema)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import written
+from .workers import bounded, tidy
 
 ROW = 64
 PART = "struct<position: int, kind: string, text: string, address: string, digest: string, caption: string>"
@@ -124,7 +125,7 @@ def interleaved(pages: DataFrame, html: str = "html", out: str = "parts") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), parts], names=[*names, out])
 
     fields = [f for f in rest.schema.fields if f.name != html]
-    return rest.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.StructType.fromDDL(PART[7:-1])))]))
+    return bounded(rest).mapInArrow(tidy(run), T.StructType([*fields, T.StructField(out, T.ArrayType(T.StructType.fromDDL(PART[7:-1])))]))
 
 
 def padded(text: str | None) -> bytes:
@@ -193,7 +194,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, digest, media) as a written table; of texts that repeat in a batch, one has the bytes."""
-    return written(docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, digest string, media binary"), "media")
+    return written(bounded(docs).select("doc_id", "text").mapInArrow(tidy(_encode), "doc_id long, n_bytes long, digest string, media binary"), "media")
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def described(store: DataFrame) -> DataFrame:
     """One row for each digest of ``store`` (digest, media), from the stored bytes read back."""
-    read = store.where("media is not null").select("digest", "media").mapInArrow(_describe, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    read = store.where("media is not null").select("digest", "media").mapInArrow(tidy(_describe), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return written(read.dropDuplicates(["digest"]), "media-features")
 
 

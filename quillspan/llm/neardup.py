@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 from .tokens import blocks, mix, shingle_sets
+from .workers import bounded, tidy
 
 SLOTS, ROWS = 256, 6
 BANDS = SLOTS // ROWS
@@ -218,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """The pairs (u, v) whose full sets are as similar as asked; the larger id's text travels to the smaller's."""
     with_v = pairs.join(texts.select(F.col("rep").alias("v"), F.col("packed").alias("y")), "v")
     with_both = with_v.join(texts.select(F.col("rep").alias("u"), F.col("packed").alias("x")), "u")
-    return with_both.select("u", "v", "x", "y").mapInArrow(_confirm(shingle, percent), "u long, v long").distinct()
+    return with_both.select("u", "v", "x", "y").mapInArrow(tidy(_confirm(shingle, percent)), "u long, v long").distinct()
 
 
 def _pairs_with_leaders(members: DataFrame, salt: int, percent: int) -> DataFrame:
@@ -238,13 +239,13 @@ def _links_across(members: DataFrame, buckets: DataFrame, texts: DataFrame, shin
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "part")
     full = dealt.join(texts, "rep").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    return full.select(*_GROUP, "rep", "part", "packed").mapInArrow(_compare(shingle, percent), "u long, v long").distinct()
+    return full.select(*_GROUP, "rep", "part", "packed").mapInArrow(tidy(_compare(shingle, percent)), "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = written(docs.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    signed = written(bounded(docs).mapInArrow(tidy(_signer(shingle)), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = real.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands")
@@ -255,7 +256,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     wanted = written(members.select("rep").distinct(), "candidates")
     few = wanted.count() <= BROADCAST
     wanted = F.broadcast(wanted) if few else wanted
-    texts = written(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(_packed, "rep long, packed binary"), "candidate-texts")
+    texts = written(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(tidy(_packed), "rep long, packed binary"), "candidate-texts")
     first = written(_pairs_with_leaders(members, 0, percent), "pairs")
     links = written(_verified(first, texts, shingle, percent), "links")
     parts, tried, before = written(components(links), "parts"), 0, float("inf")

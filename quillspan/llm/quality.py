@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .sample import labelled
 from .tokens import Block, blocks, mix, words
+from .workers import bounded, tidy
 
 BITS = 18
 SCALE = 40.0
@@ -114,7 +115,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], size: int, epochs: int
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` documents of either label for which ``allowed`` holds."""
     picked = labelled(docs, labels, label, allowed, per_class)
-    table = picked.mapInArrow(_sparse, "doc_id long, y int, i array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    table = bounded(picked).mapInArrow(tidy(_sparse), "doc_id long, y int, i array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     rows = [(y, np.asarray(i, np.int64), np.asarray(x, np.float64)) for y, i, x in zip(table["y"].to_pylist(), (v.values for v in table["i"]), (v.values for v in table["x"]), strict=True)]
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
@@ -132,7 +133,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, out])
 
     docs = docs.drop(out)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return bounded(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, allowed: Column, threshold: float = 0.7) -> DataFrame:

@@ -1,36 +1,5 @@
-"""Written tables in the folder that the driver and all executors share."""
+"""Written tables in the folder that the driver and all executors share; see ``quillspan.storage``."""
 
-from __future__ import annotations
+from quillspan.storage import drop, passing, shared_dir, written
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_SETTING = "spark.checkpoint.dir"
-_own: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    global _own
-    found = spark.conf.get(_SETTING, None)
-    if found:
-        return found.rstrip("/")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="quillspan-")
-        atexit.register(shutil.rmtree, _own, True)
-    return f"file://{_own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
-
-    Unlike executor-local caching, what is written survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "passing", "shared_dir", "written"]

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import bounded, tidy
+
 FREQUENT = 1 << 16
 PARTS, SAMPLE = 32, 100
 CACHE = 1 << 20
@@ -137,7 +139,7 @@ def _frequent(docs: DataFrame, content: str, text: str) -> tuple[str, bytes]:
         best = seen.most_common(FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
 
-    best = docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
+    best = bounded(docs).select(text).mapInArrow(tidy(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     names = [r[0] for r in best.collect()]
     counter = PieceCounter(content)
     sizes = counter.lengths(names) if names else []
@@ -161,4 +163,4 @@ def counted(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, size, pa.array([counter.count(t) for t in texts], pa.int64())], names=[*batch.schema.names, "n_bytes", "n_tokens"])
 
     added: list[Any] = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return bounded(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))

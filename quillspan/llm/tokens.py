@@ -15,9 +15,9 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of a word up to this place have their value in a table.
+_PLACES = 64
+_tables: dict[int, np.ndarray] = {}
 
 #: Bytes 0x20 and 0x09-0x0D part words.
 SEPARATOR = np.zeros(256, bool)
@@ -30,18 +30,6 @@ _KIND[SEPARATOR] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK + (1 << 17))
-        have = np.full(size, _U(base))
-        have[0] = _U(1)
-        have = np.multiply.accumulate(have)
-        if size <= 4 * BLOCK:
-            _powers[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every bit of the result depends on every bit of x."""
     x = x ^ (x >> _U(30))
@@ -52,6 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _byte_values(place: np.ndarray, byte: np.ndarray, seed: int) -> np.ndarray:
+    """A random 64-bit value for each byte at each place of a word; ``seed`` chooses among independent ones."""
+    table = _tables.get(seed)
+    if table is None:
+        table = _tables[seed] = mix(mix(np.arange(_PLACES << 8, dtype=_U) + _U(1)) ^ _U((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    index = (np.minimum(place, _PLACES - 1) << 8) | byte
+    value = table[index]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] = mix(mix(((place[far] << 8) | byte[far]).astype(_U) + _U(1)) ^ _U((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return value
+
+
 @dataclass
 class Block:
     """Documents lo..hi of a column: ``data`` are their bytes, ``ends`` where each begins and ends."""
@@ -92,6 +93,7 @@ class Words:
     stop: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # word index at which each document begins, and the total
+    second: np.ndarray | None = None  # independent hashes, if asked for
 
     @property
     def doc(self) -> np.ndarray:
@@ -109,28 +111,41 @@ def _spans(kind: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][full], at[1:][full]
 
 
-def words(block: Block, lower: bool = False, by_kind: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` (``by_kind``: also parted where signs and letters meet)."""
+def words(block: Block, lower: bool = False, by_kind: bool = False, twice: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (``by_kind``: also parted where signs and letters meet).
+
+    A word's hash adds up random values of its bytes at their places, so that no arrangement of
+    letters, whatever the word's length, has an edge; ``twice`` also gives a second, independent hash.
+    """
     data = _ASCII_LOWER[block.data] if lower else block.data
     kind = _KIND[data] if by_kind else (~SEPARATOR[data]).view(np.uint8)
     start, stop = _spans(kind, block.ends)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, len(data)), out=total[1:])
-    value = (total[stop] - total[start]) * _power(_BASE_INV, len(data) + 1)[start]
-    value = mix(value + (stop - start).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return Words(start, stop, value, np.searchsorted(start, block.ends))
+    size = stop - start
+    ends = np.cumsum(size)
+    byte = data[kind != 0].astype(np.int32)
+    place = np.arange(len(byte), dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
+    hashes = []
+    for seed in range(1 + twice):
+        total = np.zeros(len(byte) + 1, _U)
+        np.cumsum(_byte_values(place, byte, seed), out=total[1:])
+        hashes.append(mix(total[ends] - total[ends - size] + size.astype(_U) * _U(0xD6E8FEB86659FD93)))
+    return Words(start, stop, hashes[0], np.searchsorted(start, block.ends), hashes[1] if twice else None)
 
 
 def windows(w: Words, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes of all runs of ``width`` words inside one document, and the first words' indexes."""
-    n = len(w.hash) - width + 1
+    """Rabin-Karp hashes of all runs of ``width`` words inside one document, and the first words' indexes.
+
+    Words enter as random 64-bit numbers; ``seed`` 1 takes their second hashes, and another base.
+    """
+    source = w.second if seed else w.hash
+    n = len(source) - width + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     base = _U(0xC2B2AE3D27D4EB4F + 2 * seed)
     value = np.zeros(n, _U)
     for k in range(width):
         value *= base
-        value += w.hash[k : k + n]
+        value += source[k : k + n]
     fits = np.ones(n, bool)
     for a, b in zip(w.first[:-1], w.first[1:], strict=True):
         fits[max(a, b - width + 1, 0) : b] = False

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .sample import labelled
 from .tokens import letter_streams, mix, text_blocks
+from .workers import bounded, tidy
 
 BITS = 20
 SIZES = (4, 5)
@@ -117,7 +118,7 @@ def fit(y: np.ndarray, rows: list[np.ndarray], size: int, smooth: float = 1.0, e
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` documents of either label for which ``allowed`` holds."""
     picked = labelled(docs, labels, label, allowed, per_class)
-    table = picked.mapInArrow(_sparse, "doc_id long, y int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    table = bounded(picked).mapInArrow(tidy(_sparse), "doc_id long, y int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     return fit(table["y"].to_numpy().astype(np.int64), [np.asarray(v.values, np.int64) for v in table["i"]], 1 << BITS)
 
 
@@ -135,7 +136,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, out])
 
     docs = docs.drop(out)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return bounded(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def flagged(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

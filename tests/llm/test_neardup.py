@@ -77,3 +77,15 @@ def test_linked_counts_shared_elements():
     i, j = neardup.linked(sets, part, 80)
     assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 5)]
     assert len(neardup.linked(sets, part * 0, 80)[0]) == 0
+
+
+def test_words_of_adverse_structure_stay_apart(spark):
+    from tests.llm.test_substring import thue_morse
+
+    rows = []
+    for k, n in enumerate((64, 1024, 2048)):
+        a, b = thue_morse(n)
+        rows += [(10 * k + 1, f"{a} x{k}"), (10 * k + 2, f"{b} x{k}"), (10 * k + 3, f"{a} x{k}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs, 2, 80).collect()}
+    assert got == {i: i - 2 if i % 10 == 3 else i for i, _ in rows}

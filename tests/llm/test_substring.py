@@ -43,3 +43,18 @@ def test_removals(spark, monkeypatch):
     out = substring.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     assert substring.removals(docs.limit(0)).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    """Two words of n letters whose polynomial hashes modulo 2^64 are equal, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_of_adverse_structure_stay_apart(spark):
+    rest = " " + " ".join(f"w{k}" for k in range(12))
+    for n in (64, 1024, 2048):
+        a, b = thue_morse(n)
+        docs = spark.createDataFrame([(1, a + rest), (2, b + rest), (3, a + rest)], "doc_id long, text string")
+        got = {r["doc_id"]: sum(x["end"] - x["begin"] for x in r["removed"]) for r in substring.removals(docs).collect()}
+        assert got == {1: 0, 2: 0, 3: 13}

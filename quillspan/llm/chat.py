@@ -1,15 +1,17 @@
 """Chat formatting: typed content parts become one marked string with a loss mask and attachments.
 
-A turn's content is an array of typed parts. A visitor - one CASE over the part's type - turns
-each into text: text parts are escaped, image, audio and document parts become a numbered
-placeholder, and leave a record of the reference and of the tokens it will expand to. Turns are
-joined as
+A turn's content is an array of typed parts. A visitor - one CASE over the part's type - flattens
+them into one text: text parts, and parts of an unknown type, give what they say, image, audio and
+document parts a numbered placeholder, and leave a record of the reference and of the tokens it
+will expand to. The flat text is escaped as a whole, so that no control string can form where two
+parts meet. Turns are joined as
 
     <|turn|>role<|text|>content<|end|>
 
 Escaping is reversible: a backslash doubles, and one is put behind the ``<`` or ``[`` of every
 control string (anything in ``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<pad>``, ``<unk>``),
-so no text can form one. Unescaping drops each backslash and keeps what follows it.
+so no text can form one. Unescaping drops each backslash and keeps what follows it. Until the
+rest is escaped, a placeholder begins with one backslash and an m, which no doubled text has.
 
 All of it is DataFrame functions. A conversation's turns are first joined by runs of ``RUN``
 turn numbers, then the runs are joined, so that long conversations neither build one huge array
@@ -33,8 +35,12 @@ PART = "struct<type: string, text: string, ref: string, units: int>"
 _CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|pad>|unk>)"
 
 
+def _doubled(text: Column) -> Column:
+    return F.replace(text, F.lit("\\"), F.lit("\\\\"))
+
+
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"$1\\")
+    return F.regexp_replace(_doubled(text), _CONTROL, r"$1\\")
 
 
 def unescaped(text: Column) -> Column:
@@ -49,8 +55,14 @@ def text_parts(text: Column) -> Column:
 def _visit(part: Column, index: Column) -> Column:
     """What a part becomes; attachments are numbered within their turn."""
     kind = part["type"]
-    place = F.concat(F.lit("<|"), kind, F.lit(":"), index.cast("string"), F.lit("|>"))
-    return F.when(kind.isin(*EXPANSION), place).otherwise(escaped(F.coalesce(part["text"], F.lit(""))))
+    place = F.concat(F.lit("\\m"), kind, F.lit(":"), index.cast("string"), F.lit("|>"))
+    return F.when(kind.isin(*EXPANSION), place).otherwise(_doubled(F.coalesce(part["text"], F.lit(""))))
+
+
+def _body(parts: Column) -> Column:
+    """Visited parts as one escaped text."""
+    whole = F.regexp_replace(F.array_join(parts, ""), _CONTROL, r"$1\\")
+    return F.regexp_replace(whole, r"(?<!\\)((?:\\\\)*)\\m", r"$1<|")
 
 
 def _attachments(content: Column) -> Column:
@@ -67,7 +79,7 @@ def formatted(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """
     content = F.coalesce("content", F.array().cast(f"array<{PART}>"))
     before = lambda i: F.size(F.filter(F.slice(content, F.lit(1), i), lambda p: p["type"].isin(*EXPANSION)))
-    body = F.array_join(F.transform(content, lambda p, i: _visit(p, before(i))), "")
+    body = _body(F.transform(content, lambda p, i: _visit(p, before(i))))
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(TURN), escaped(role), F.lit(TEXT))
     one = turns.select(

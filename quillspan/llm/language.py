@@ -246,29 +246,29 @@ def train(docs: DataFrame) -> Model | Spread:
     langs = sorted(r[0] for r in full.select("lang").distinct().collect())
     if not langs:
         return Model([])
-    mean, deviation = _calibrated(full.where("not apart"), known.where("apart"), langs)
-    model = _built(full, langs)
-    model.mean, model.deviation = mean, deviation
-    return model
-
-
-def _built(full: DataFrame, langs: list[str]) -> Model | Spread:
-    """Models from all counts (lang, gram, n) of the highest order."""
-    cols = [f"c{i}" for i in range(len(langs))]
-    wide = full.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for c, x in zip(cols, langs, strict=True)])
-    tables = [written(wide, "char-grams")]
+    # counts of all texts (c) and of those that aren't set apart (b), by language, in one table an order
+    cols, rest = [f"c{i}" for i in range(len(langs))], [f"b{i}" for i in range(len(langs))]
+    here = lambda x: F.when(F.col("lang") == x, F.col("n")).otherwise(0)
+    sums = [F.sum(here(x)).alias(c) for c, x in zip(cols, langs, strict=True)] + [F.sum(F.when(F.col("apart"), 0).otherwise(here(x))).alias(b) for b, x in zip(rest, langs, strict=True)]
+    tables = [written(full.groupBy("gram").agg(*sums), "char-grams")]
     for _ in range(ORDER - 1):
         # distinct predecessors: how many n-grams one character longer end in this one, by language
-        wide = tables[0].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in cols])
+        wide = tables[0].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in cols + rest])
         tables.insert(0, written(wide, "char-grams"))
     if sum(t.count() for t in tables) * len(langs) > HELD:
-        return _spread(tables, cols, langs)
-    return build([_table(t, cols, n) for n, t in enumerate(tables, 1)], langs)
+        make = lambda names: _spread(tables, names, langs)
+    else:
+        counted = [_table(t, cols + rest, n) for n, t in enumerate(tables, 1)]
+        make = lambda names: build([(points, count[:, [(cols + rest).index(c) for c in names]]) for points, count in counted], langs)
+    mean, deviation = _calibrated(make(rest), known.where("apart"), langs)
+    model = make(cols)
+    model.mean, model.deviation = mean, deviation
+    return model
 
 
 def _table(wide: DataFrame, cols: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     rows = wide.toArrow()
-    return _points(rows["gram"].to_pylist(), n), np.stack([rows[c].to_numpy() for c in cols], 1).astype(float)
+    return _points(rows["gram"].to_pylist(), n), np.stack([rows[c].to_numpy().astype(np.float64) for c in cols], 1)
 
 
 def _spread(tables: list[DataFrame], cols: list[str], langs: list[str]) -> Spread:
@@ -331,17 +331,14 @@ def _with_sums(docs: DataFrame, model: Model | Spread, text: str) -> DataFrame:
     return docs
 
 
-def _calibrated(full: DataFrame, apart: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation by language of the entropies of all texts apart, by models of the counts ``full``."""
+def _calibrated(model: Model | Spread, apart: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation by language of the entropies of all texts apart, by models of the others."""
     mean, deviation = np.full(len(langs), np.inf), np.ones(len(langs))
-    seen = {r[0] for r in full.select("lang").distinct().collect()}
-    if not seen:
-        return mean, deviation
     own = F.get("__sums", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1)
-    rows = _with_sums(apart.select("lang", "text"), _built(full, langs), "text").where("__letters >= 20")
+    rows = _with_sums(apart.select("lang", "text"), model, "text").where("__letters >= 20")
     rows = rows.select("lang", (-own / F.greatest("__chars", F.lit(1))).alias("e"))
     for lang, n, m, d in rows.groupBy("lang").agg(F.count("e"), F.avg("e"), F.stddev_pop("e")).collect():
-        if n >= LEAST and lang in seen:
+        if n >= LEAST:
             mean[langs.index(lang)], deviation[langs.index(lang)] = m, max(d, 0.02)
     return mean, deviation
 

@@ -5,18 +5,20 @@ references with the digest in their address (``sha256:<hex>``), the alternative
 caption of the figure they stand in. ``stored`` packs payloads losslessly as 8-bit grey PNG
 images, 64 samples a row, into a written table keyed by the SHA-256 of the stored bytes.
 ``resolved`` joins references with what reading the store back gave; positions and captions
-stay with their references, whether or not a payload was found.
+stay with their references, whether or not a payload was found, and texts keep their places.
 
 A payload that many documents share is stored once a batch and described once a digest before
 the join, and the payload bytes themselves are never shuffled.
 
-Defined cases: null HTML has no parts; broken markup is read as far as it goes; a reference
+Defined cases: null HTML has no parts; broken markup is read as far as it goes, and a caption that
+nothing closes ends with its figure; a reference
 without a digest or without a stored payload stays, unresolved; a null text is an empty
 payload, padded to one row; equal texts give equal bytes; other columns stay.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -76,28 +78,36 @@ class _Reader(HTMLParser):
                 self.figures.append([])
                 self.captions.append(None)
             elif tag == "figcaption" and self.figures:
+                self._close_caption()
                 self.caption = []
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            self.captions[-1] = " ".join("".join(self.caption).split())
-            self.caption = None
+        elif tag == "figcaption":
+            self._close_caption()
         elif tag in _BLOCK:
-            self.flush()
+            if tag == "figure":  # a caption ends with its figure at the latest
+                self._close_caption()
+            if self.caption is None:
+                self.flush()
             if tag == "figure" and self.figures:
                 self._close_figure()
 
+    def _close_caption(self) -> None:
+        if self.caption is not None:
+            self.captions[-1] = " ".join("".join(self.caption).split())
+            self.caption = None
+
     def _close_figure(self) -> None:
         text = self.captions.pop()
         for i in self.figures.pop():
             self.parts[i]["caption"] = text
 
     def finish(self) -> list[dict]:
-        self.close()
-        if self.caption is not None:
-            self.captions[-1] = " ".join("".join(self.caption).split())
+        with contextlib.suppress(AssertionError):  # what the library makes of some broken declarations
+            self.close()
+        self._close_caption()
         self.flush()
         while self.figures:
             self._close_figure()
@@ -110,7 +120,8 @@ class _Reader(HTMLParser):
 
 def parse(html: str | None) -> list[dict]:
     reader = _Reader()
-    reader.feed(html or "")
+    with contextlib.suppress(AssertionError):
+        reader.feed(html or "")
     return reader.finish()
 
 
@@ -215,6 +226,9 @@ def described(store: DataFrame) -> DataFrame:
 
 
 def resolved(pages: DataFrame, described: DataFrame, key: str) -> DataFrame:
-    """A row for each media reference of ``pages`` (key, parts) with what is known of its payload, if anything."""
-    refs = pages.select(key, F.explode("parts").alias("part")).where("part.kind <> 'text'").select(key, "part.position", "part.kind", F.col("part.digest").alias("digest"), "part.caption", F.col("part.text").alias("alternative"))
-    return refs.join(described, "digest", "left")
+    """A row for each part of ``pages`` (key, parts): texts as they are, references with what is known of their payload.
+
+    A page's parts keep their positions, so that the whole sequence can be put in order again.
+    """
+    parts = pages.select(key, F.explode("parts").alias("part")).select(key, "part.position", "part.kind", "part.text", F.col("part.address").alias("address"), F.col("part.digest").alias("digest"), F.col("part.caption").alias("caption"))
+    return parts.join(described, "digest", "left")

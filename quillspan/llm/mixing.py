@@ -22,7 +22,8 @@ again by weight among the others.
 
 Defined cases: null text has size 0 and takes nothing; rows of one doc_id are rounded each
 (equal rows may then differ in copies, but the multiset of results is the same on every run);
-a corpus without words has targets of 0; other columns stay.
+a corpus without words has targets of 0. ``mixed`` returns the columns it names, ``mixture`` all
+columns of the documents, of which those named like its own give way.
 """
 
 from __future__ import annotations
@@ -112,11 +113,27 @@ def _offsets(rated: DataFrame) -> DataFrame:
     return written(rated.groupBy("sid").agg(F.array_min(F.array(*found))["offset"].alias("offset")), "mix-offsets")
 
 
+def mixture(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """``docs``, whole, with size, source_size, target, copies and taken (words, repeats counted)."""
+    added = ["size", "source_size", "target", "copies", "taken"]
+    docs = docs.drop(*added)
+    rates = mixed(docs, cap).withColumn("taken", F.col("copies") * F.col("size"))
+    # equal rows are one key, and take what its rows have, in any order
+    number = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
+    whole = docs.withColumn("__id", F.col("doc_id")).withColumn("__h", F.xxhash64("doc_id", "text", "source")).withColumn("__n", number)
+    key = rates.select(F.col("doc_id").alias("__id"), F.col("__h"), *added).withColumn("__n", number).withColumnRenamed("__id", "__i").withColumnRenamed("__h", "__g").withColumnRenamed("__n", "__m")
+    met = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")) & (F.col("__n") == F.col("__m"))
+    return whole.join(key, met).select(*docs.columns, *added)
+
+
 def mixed(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): copies, 0 to ``cap``, meet the source's target."""
+    """(doc_id, source, size, source_size, target, copies): copies, 0 to ``cap``, meet the source's target.
+
+    A column ``__h`` more, of doc_id, text and source, tells rows of one doc_id apart.
+    """
     # a null source is one of its own; other sources keep their text as their key
     sid = F.concat(F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce("source", F.lit("")))
-    rows = written(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", sid.alias("sid"), F.xxhash64("doc_id", "text").alias("h")), "mix-sizes")
+    rows = written(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", sid.alias("sid"), F.xxhash64("doc_id", "text", "source").alias("h")), "mix-sizes")
     cells = written(rows.groupBy("sid", "source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sources = cells.groupBy("sid", "source").agg(F.sum(F.col("n") * F.col("size")).alias("tokens"))
     wanted = written(sources.join(targets(sources.select("source", "tokens"), cap).select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select("sid", "tokens", "target"), "mix-targets")
@@ -137,4 +154,4 @@ def mixed(docs: DataFrame, cap: int = CAP) -> DataFrame:
     numbered = placed.withColumn("k", own).join(hot, ["sid", "size", "part"], "left").withColumn("k", F.col("k") + F.coalesce("skipped", F.lit(0)))
     upto = F.floor(F.col("before") + F.col("k") * F.col("rate"))
     below = F.floor(F.col("before") + (F.col("k") - 1) * F.col("rate"))
-    return numbered.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(cap), upto - below).cast("int").alias("copies"))
+    return numbered.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(cap), upto - below).cast("int").alias("copies"), F.col("h").alias("__h"))

@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams.
 
 Words (runs of letters and digits, and runs of signs) and pairs of neighbouring words hash
-into 2**bits features (pairs that begin a repetition share one per distance); a document's feature values are its counts times ``SCALE`` over the
+into 2**bits features; a pair whose first word returns 1 to 4 words later is counted as the pattern
+"word, the same word" of that distance, whichever the word, in a place of its own; a document's feature values are its counts times ``SCALE`` over the
 number of its n-grams. Training is per-coordinate follow-the-regularised-leader (FTRL
 proximal) over a bounded sample; scoring is a sparse dot product on whole texts, map-side,
 with one broadcast of 2**bits floats (1 MiB at the default).
@@ -27,6 +28,8 @@ from .tokens import Block, blocks, mix, words
 from .workers import bounded, tidy
 
 BITS = 18
+#: Features in all: hashed ones and those of repetition.
+SIZE = (1 << BITS) + 5
 SCALE = 40.0
 #: A pair counts as "the same word again" if its first word returns after so many words.
 LAGS = (4, 3, 2, 1)
@@ -46,9 +49,10 @@ def features(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hash)
     one = mix(w.hash + np.uint64(1)) >> np.uint64(64 - bits)
     two = mix(w.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[1:]) >> np.uint64(64 - bits) if n else one
-    for lag in LAGS:  # a word again at a short distance is one feature, whichever word it is
+    two = two.astype(np.int64)
+    for lag in LAGS:
         again = w.hash[lag:] == w.hash[:-lag]
-        two[: max(n - lag, 0)][again] = lag
+        two[: max(n - lag, 0)][again] = (1 << bits) + lag
     both = np.empty((n, 2), np.int64)
     both[:, 0] = one
     both[: n - 1, 1] = two
@@ -118,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "qua
     table = bounded(picked).mapInArrow(tidy(_sparse), "doc_id long, y int, i array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     rows = [(y, np.asarray(i, np.int64), np.asarray(x, np.float64)) for y, i, x in zip(table["y"].to_pylist(), (v.values for v in table["i"]), (v.values for v in table["x"]), strict=True)]
     if not rows:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    return ftrl(rows, 1 << BITS)
+        return Model(np.zeros(SIZE, np.float32), 0.0)
+    return ftrl(rows, SIZE)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

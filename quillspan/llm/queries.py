@@ -113,8 +113,10 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark WHERE text IS NOT NULL
-), ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
-bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b WHERE len(ws) >= 5)),
+), bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b WHERE len(ws) >= 5)
+  UNION ALL SELECT DISTINCT item_id, array_to_string(ws, ' ') FROM b WHERE len(ws) BETWEEN 1 AND 4),
+ks AS (SELECT DISTINCT least(len(ws), 5) AS k FROM b WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY 1),
 k AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_shared FROM k JOIN n USING (item_id) WHERE n_shared * 100 >= n_shingles * 80
@@ -150,7 +152,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = media.described(store)
     page = F.concat(F.lit('<figure><img alt="payload" src="sha256:'), "digest", F.lit('"><figcaption>'), F.coalesce(F.col("n_bytes").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
     pages = media.interleaved(store.select("doc_id", page.alias("html")))
-    found = media.resolved(pages, known, "doc_id")
+    found = media.resolved(pages, known, "doc_id").where("kind = 'image'")
     return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

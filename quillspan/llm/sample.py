@@ -13,7 +13,7 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int) -> DataFrame:
-    """(y, text) of at most ``per_class`` labelled documents of either class.
+    """(doc_id, y, text) of the documents that at most ``per_class`` doc_ids of either class have; a repeated id has all its rows.
 
     ``allowed`` is a condition on ``doc_id``. The choice goes by a hash of doc_id, so it
     neither depends on file order nor grows with the input; 2 * per_class ids are broadcast.

@@ -2,8 +2,9 @@
 
 Each distinct character n-gram (letters in lower case, other characters as one space) of a
 document hashes into 2**bits features, present or not. A feature's scale is the log ratio of
-its smoothed shares in toxic and other documents; a logistic regression is then learnt on the
-scaled features from a bounded sample. Scoring adds weight times ratio over the distinct
+its smoothed counts in toxic and other documents, drawn towards 0 by ``DOUBT`` of its standard
+errors, so that n-grams seen a few times don't outweigh those seen often; a logistic regression
+is then learnt on the scaled features from a bounded sample. Scoring adds weight times ratio over the distinct
 features present in the whole text, map-side, with one broadcast of 2**bits floats.
 
 Defined cases: null, empty and letterless texts get the score of the bias; repeated rows are
@@ -27,9 +28,11 @@ from .tokens import letter_streams, mix, text_blocks
 from .workers import bounded, tidy
 
 BITS = 20
-SIZES = (4, 5)
+SIZES = (3, 4, 5, 6)
 #: Bound of the training sample: so many labelled documents of either class.
 PER_CLASS = 2500
+#: Standard errors by which a log-count ratio is drawn towards 0, and what is added to every count.
+DOUBT, SMOOTH = 1.5, 0.5
 
 
 @dataclass
@@ -81,11 +84,15 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "y", "i"])
 
 
-def fit(y: np.ndarray, rows: list[np.ndarray], size: int, smooth: float = 1.0, epochs: int = 15, rate: float = 0.5, l2: float = 1e-4, floor: int = 3) -> Model:
-    """Log-count ratios, then logistic regression (adaptive gradient steps) on the scaled features.
+def ratios(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-count ratios of features from the numbers of toxic and other documents that have them, drawn towards 0."""
+    a, b = toxic + SMOOTH, other + SMOOTH
+    ratio = np.log(a / (n1 + 2 * SMOOTH)) - np.log(b / (n0 + 2 * SMOOTH))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - DOUBT * np.sqrt(1 / a + 1 / b), 0)
 
-    Features in fewer than ``floor`` documents, and those whose ratio is that of chance, weigh nothing.
-    """
+
+def fit(y: np.ndarray, rows: list[np.ndarray], size: int, epochs: int = 15, rate: float = 0.5, l2: float = 1e-3) -> Model:
+    """Log-count ratios, then logistic regression (adaptive gradient steps) on the scaled features."""
     toxic, other = np.zeros(size), np.zeros(size)
     for k, i in zip(y, rows, strict=True):
         (toxic if k else other)[i] += 1
@@ -93,12 +100,7 @@ def fit(y: np.ndarray, rows: list[np.ndarray], size: int, smooth: float = 1.0, e
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    p, q = (toxic + smooth) / (n1 + 2 * smooth), (other + smooth) / (n0 + 2 * smooth)
-    ratio = np.log(p / q)
-    # a share that differs by less than four standard errors tells nothing about the label
-    pooled = (toxic + other + smooth) / (n1 + n0 + 2 * smooth)
-    ratio[np.abs(p - q) < 4 * np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))] = 0
-    ratio[toxic + other < floor] = 0
+    ratio = ratios(toxic, other, n1, n0)
     kept = [i[ratio[i] != 0] for i in rows]
     w, seen, b, seen_b = np.zeros(size), np.full(size, 1e-8), float(np.log(n1 / n0)), 1e-8
     order = np.random.default_rng(11)

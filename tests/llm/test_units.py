@@ -124,7 +124,7 @@ def test_linear_models_learn():
     assert none.bias == 0 and not none.weights.any()
     batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([1, 0] * 40, pa.int32()), pa.array(["good words here indeed", "BAD!! BAD!! $$$ %%%"] * 40)], names=["doc_id", "y", "text"])
     f = next(quality._sparse(iter([batch])))
-    q = quality.ftrl([(a, np.asarray(i.values, np.int64), np.asarray(x.values, float)) for a, i, x in zip(f["y"].to_pylist(), f["i"], f["x"], strict=True)], 1 << quality.BITS)
+    q = quality.ftrl([(a, np.asarray(i.values, np.int64), np.asarray(x.values, float)) for a, i, x in zip(f["y"].to_pylist(), f["i"], f["x"], strict=True)], quality.SIZE)
     got = quality.scores(q, pa.array(["good words here", "BAD!! $$$", "", None, " \n"]))
     assert got[0] > 0.7 > 0.3 > got[1] and got[2] == got[3] == got[4]
 

@@ -86,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
             text = np.concatenate(grams)[at].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([apart] * len(at)), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(total)], names=["lang", "apart", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([apart] * len(at), pa.bool_()), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(total, pa.int64())], names=["lang", "apart", "gram", "n"])
 
 
 def _own(points: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -49,9 +49,9 @@ def features(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hash)
     one = mix(w.hash + np.uint64(1)) >> np.uint64(64 - bits)
     two = mix(w.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[1:]) >> np.uint64(64 - bits) if n else one
-    two = two.astype(np.int64)
+    two, doc = two.astype(np.int64), w.doc
     for lag in LAGS:
-        again = w.hash[lag:] == w.hash[:-lag]
+        again = (w.hash[lag:] == w.hash[:-lag]) & (doc[lag:] == doc[:-lag])
         two[: max(n - lag, 0)][again] = (1 << bits) + lag
     both = np.empty((n, 2), np.int64)
     both[:, 0] = one

@@ -9,7 +9,8 @@ all of them with probability (1 - 0.8**6)**42 = 3e-6.
 
 Texts with equal sets are one class (128-bit digest), represented by their smallest doc_id.
 In a band's bucket, classes are compared with a leader instead of all with all. Every
-comparison is on the full sets. Links make components; buckets whose classes still lie in several
+comparison is on the full sets of hashes, and every link is confirmed on the shingles themselves.
+The text of a leader with many followers travels to salted parts of them. Links make components; buckets whose classes still lie in several
 components are then compared across components - with new leaders while that leaves far fewer
 pairs, at last exhaustively, a bucket by pairs of chunks that hold at most about ``CHUNK`` classes
 and ``ELEMENTS`` elements each. So no link between different components is left unexamined,
@@ -17,7 +18,8 @@ whatever the size of a bucket, no task gathers a whole bucket, and only links le
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; fewer
 words than a shingle's make one shingle; a null doc_id is linked with nothing and has a null
-component, kept; rows of one doc_id are one node; further columns stay untouched.
+component, kept; rows of one doc_id are one node, which links all that its texts resemble.
+``groups`` returns the columns it names; ``without_copies`` all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import written
-from .tokens import blocks, mix, shingle_sets
+from .tokens import ASCII_LOWER, blocks, mix, shingle_sets
 from .workers import bounded, tidy
 
 SLOTS, ROWS = 256, 6
@@ -45,8 +47,11 @@ ROUNDS = 6
 PAIRS = 256
 #: Classes and elements of a bucket that are compared together with as many others.
 CHUNK, ELEMENTS = 1024, 1 << 19
+#: Pairs of one class that are verified together with one copy of its text.
+TOGETHER = 2048
 _FULL = np.uint64((1 << 64) - 1)
 _U = np.uint64
+_LOWER = ASCII_LOWER.tobytes()
 
 
 def super_minhash(value: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -119,9 +124,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["rep", "packed"])
 
 
-def _sets(column: pa.Array, shingle: int, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+def _sets(raw: list[bytes], shingle: int, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
     """The sets of packed texts, equal ones made once."""
-    raw = column.to_pylist()
     distinct = list(dict.fromkeys(raw))
     made: dict[bytes, np.ndarray] = {}
     for b in blocks(pa.array([unpack.decompress(x).decode() for x in distinct], pa.string())):
@@ -130,18 +134,35 @@ def _sets(column: pa.Array, shingle: int, unpack: zstandard.ZstdDecompressor) ->
     return [made[x] for x in raw]
 
 
+def _shingles(packed: bytes, shingle: int, unpack: zstandard.ZstdDecompressor) -> set[bytes]:
+    """The shingles of a packed text as they are."""
+    ws = unpack.decompress(packed).translate(_LOWER).split()
+    return {b" ".join(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))}
+
+
+def _alike(x: set[bytes], y: set[bytes], percent: int) -> bool:
+    shared = len(x & y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ok = []
-                for x, y in zip(_sets(part.column("x"), shingle, unpack), _sets(part.column("y"), shingle, unpack), strict=True):
+                part, ok = batch.slice(i, 256), []
+                left, right = part.column("x").to_pylist(), part.column("y").to_pylist()
+                known: dict[bytes, set[bytes]] = {}
+                for p, q, x, y in zip(left, right, _sets(left, shingle, unpack), _sets(right, shingle, unpack), strict=True):
                     both = np.concatenate([x, y])
                     both.sort()
                     shared = int((both[1:] == both[:-1]).sum())
-                    ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                    near = 100 * shared >= percent * (len(x) + len(y) - shared)
+                    if near:  # leaders stand beside many, so their shingles are kept
+                        if p not in known:
+                            known = {p: _shingles(p, shingle, unpack)}
+                        near = _alike(known[p], _shingles(q, shingle, unpack), percent)
+                    ok.append(near)
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -189,9 +210,13 @@ def _compare(shingle: int, percent: int):
             found, lo = [np.zeros((2, 0), np.int64)], 0
             while lo < len(edge) - 1:  # several groups together, so that their texts are handled in blocks
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, "right")) - 1)
-                sets = _sets(table["packed"].slice(edge[lo], edge[hi] - edge[lo]).combine_chunks(), shingle, unpack)
+                packed = table["packed"].slice(edge[lo], edge[hi] - edge[lo]).to_pylist()
+                sets = _sets(packed, shingle, unpack)
                 for a, b in zip(edge[lo:hi], edge[lo + 1 : hi + 1], strict=True):
                     i, j = linked(sets[a - edge[lo] : b - edge[lo]], part[a:b], percent)
+                    known = {k: _shingles(packed[a - edge[lo] + k], shingle, unpack) for k in set(i.tolist()) | set(j.tolist())}
+                    ok = np.array([_alike(known[p], known[q], percent) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[ok], j[ok]
                     found.append(np.sort(np.stack([rep[a:b][i], rep[a:b][j]]), axis=0))
                 lo = hi
             both = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -216,9 +241,19 @@ def _compare(shingle: int, percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are as similar as asked; the larger id's text travels to the smaller's."""
-    with_v = pairs.join(texts.select(F.col("rep").alias("v"), F.col("packed").alias("y")), "v")
-    with_both = with_v.join(texts.select(F.col("rep").alias("u"), F.col("packed").alias("x")), "u")
+    """The pairs (u, v) whose full sets are as similar as asked.
+
+    Of a pair, the class with fewer pairs gets its text first; that of the other then comes in
+    as many salted copies as its pairs need.
+    """
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("k"))
+    degree = written(degree, "degrees")
+    sized = pairs.join(degree.select(F.col("rep").alias("u"), F.col("k").alias("ku")), "u").join(degree.select(F.col("rep").alias("v"), F.col("k").alias("kv")), "v")
+    swap = F.col("ku") > F.col("kv")
+    turned = sized.select("u", "v", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("a"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("b"), F.pmod(F.xxhash64("u", "v"), F.ceil(F.greatest("ku", "kv") / TOGETHER)).alias("salt"))
+    with_a = turned.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("y")), "a")
+    copies = degree.select(F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("k") / TOGETHER) - 1)).alias("salt"))
+    with_both = with_a.join(copies.join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("x")), "b"), ["b", "salt"])
     return with_both.select("u", "v", "x", "y").mapInArrow(tidy(_confirm(shingle, percent)), "u long, v long").distinct()
 
 
@@ -258,7 +293,11 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     wanted = F.broadcast(wanted) if few else wanted
     texts = written(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(tidy(_packed), "rep long, packed binary"), "candidate-texts")
     first = written(_pairs_with_leaders(members, 0, percent), "pairs")
-    links = written(_verified(first, texts, shingle, percent), "links")
+    links = _verified(first, texts, shingle, percent)
+    # a doc_id whose rows have several texts ties their classes together
+    many = real.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.collect_set("digest").alias("ds")).where("size(ds) > 1")
+    tied = many.select("doc_id", F.explode("ds").alias("digest")).join(classes, "digest").where("doc_id <> rep").select(F.greatest("doc_id", "rep").alias("u"), F.least("doc_id", "rep").alias("v"))
+    links = written(links.unionByName(tied), "links")
     parts, tried, before = written(components(links), "parts"), 0, float("inf")
     while True:
         tried += 1

@@ -22,8 +22,8 @@ _tables: dict[int, np.ndarray] = {}
 #: Bytes 0x20 and 0x09-0x0D part words.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_ASCII_LOWER = np.arange(256, dtype=np.uint8)
-_ASCII_LOWER[65:91] += 32
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[65:91] += 32
 #: 0 separates, 1 is a letter, a digit or part of a multi-byte character, 2 is a sign.
 _KIND = np.full(256, 2, np.uint8)
 _KIND[SEPARATOR] = 0
@@ -117,7 +117,7 @@ def words(block: Block, lower: bool = False, by_kind: bool = False, twice: bool
     A word's hash adds up random values of its bytes at their places, so that no arrangement of
     letters, whatever the word's length, has an edge; ``twice`` also gives a second, independent hash.
     """
-    data = _ASCII_LOWER[block.data] if lower else block.data
+    data = ASCII_LOWER[block.data] if lower else block.data
     kind = _KIND[data] if by_kind else (~SEPARATOR[data]).view(np.uint8)
     start, stop = _spans(kind, block.ends)
     size = stop - start

@@ -35,6 +35,7 @@ def shingles(text, k):
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, shingle, rounds, chunk):
     monkeypatch.setattr(neardup, "PAIRS", 0 if rounds else 256)
     monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "TOGETHER", 3)
     rng = random.Random(5)
     rows = [(1, None), (2, ""), (3, "one"), (4, "One"), (5, "one two"), (6, " \n\t"), (None, "one"), (None, None)]
     for k in range(12):
@@ -63,6 +64,12 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, shingle, rounds, chun
     assert ids == [None, None] + sorted({i for i in want if want[i] == i})
 
 
+def test_texts_of_one_id_tie_their_classes(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = spark.createDataFrame([(10, a), (10, b), (3, a), (20, b), (5, "alone in the world here")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.groups(docs).collect()) == [(3, 3), (5, 5), (10, 3), (10, 3), (20, 3)]
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.groups(docs).count() == 0 and neardup.without_copies(docs).count() == 0

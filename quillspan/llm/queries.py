@@ -156,6 +156,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on raw web pages: their texts and media references in reading order."""
+    pages = media.interleaved(table(spark, sf_dir, "pages").select("page_id", "html"))
+    none = media.described(media.stored(table(spark, sf_dir, "documents").where("false")))
+    return media.resolved(pages, none, "page_id").select("page_id", "position", "kind", "text", "address", "caption", "payload_bytes")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -174,5 +181,6 @@ QUERIES |= {
         op8_minhash_neardup,
         op9_media_columns,
         op10_token_counts,
+        media_pages,
     )
 }

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sample import labelled
+from .storage import written
 from .tokens import letter_streams, mix, text_blocks
 from .workers import bounded, tidy
 
@@ -32,7 +33,7 @@ SIZES = (3, 4, 5, 6)
 #: Bound of the training sample: so many labelled documents of either class.
 PER_CLASS = 2500
 #: Standard errors by which a log-count ratio is drawn towards 0, and what is added to every count.
-DOUBT, SMOOTH = 1.5, 0.5
+DOUBT, SMOOTH = 2.0, 0.5
 
 
 @dataclass
@@ -73,15 +74,34 @@ def scores(model: Model, texts: list[str | None], bits: int = BITS) -> np.ndarra
     return out
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic, other): how many documents of a batch have each feature."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        got: list[np.ndarray] = []
+        texts, y = batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False)
+        count = np.zeros((2, 1 << BITS), np.int32)
         for lo, hi in text_blocks(texts):
             f, doc = _present(*grams(texts[lo:hi]), BITS)
-            cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-            got += [f[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "y", "i"])
+            for label in (0, 1):
+                count[label] += np.bincount(f[y[lo:hi][doc] == label], minlength=1 << BITS).astype(np.int32)
+        at = np.flatnonzero(count.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[1, at].astype(np.int64)), pa.array(count[0, at].astype(np.int64))], names=["feature", "toxic", "other"])
+
+
+def _sparse(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, y, i): the features of each document whose ratio isn't 0."""
+        tells = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            got: list[np.ndarray] = []
+            for lo, hi in text_blocks(texts):
+                f, doc = _present(*grams(texts[lo:hi]), BITS)
+                f, doc = f[tells[f]], doc[tells[f]]
+                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                got += [f[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "y", "i"])
+
+    return run
 
 
 def ratios(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -91,17 +111,12 @@ def ratios(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray
     return np.sign(ratio) * np.maximum(np.abs(ratio) - DOUBT * np.sqrt(1 / a + 1 / b), 0)
 
 
-def fit(y: np.ndarray, rows: list[np.ndarray], size: int, epochs: int = 15, rate: float = 0.5, l2: float = 1e-3) -> Model:
-    """Log-count ratios, then logistic regression (adaptive gradient steps) on the scaled features."""
-    toxic, other = np.zeros(size), np.zeros(size)
-    for k, i in zip(y, rows, strict=True):
-        (toxic if k else other)[i] += 1
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+def fit(y: np.ndarray, kept: list[np.ndarray], ratio: np.ndarray, epochs: int = 15, rate: float = 0.5, l2: float = 1e-3) -> Model:
+    """Logistic regression (adaptive gradient steps) on scaled features; ``kept``: each document's, of a ratio other than 0."""
+    size, n1, n0 = len(ratio), int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    ratio = ratios(toxic, other, n1, n0)
-    kept = [i[ratio[i] != 0] for i in rows]
     w, seen, b, seen_b = np.zeros(size), np.full(size, 1e-8), float(np.log(n1 / n0)), 1e-8
     order = np.random.default_rng(11)
     for _ in range(epochs):
@@ -118,10 +133,21 @@ def fit(y: np.ndarray, rows: list[np.ndarray], size: int, epochs: int = 15, rate
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Learn from at most ``per_class`` documents of either label for which ``allowed`` holds."""
-    picked = labelled(docs, labels, label, allowed, per_class)
-    table = bounded(picked).mapInArrow(tidy(_sparse), "doc_id long, y int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    return fit(table["y"].to_numpy().astype(np.int64), [np.asarray(v.values, np.int64) for v in table["i"]], 1 << BITS)
+    """Learn from at most ``per_class`` documents of either label for which ``allowed`` holds.
+
+    Spark counts the documents that have each feature; then the driver gets, of each document,
+    only the features that the counts tell something about.
+    """
+    picked = written(bounded(labelled(docs, labels, label, allowed, per_class)), "toxicity-sample")
+    n = {r["y"]: r["count"] for r in picked.groupBy("y").count().collect()}
+    counts = picked.mapInArrow(tidy(_presence), "feature int, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
+    toxic, other = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = counts["feature"].to_numpy()
+    toxic[at], other[at] = counts["toxic"].to_numpy(), counts["other"].to_numpy()
+    ratio = ratios(toxic, other, n.get(1, 0), n.get(0, 0))
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(ratio != 0).tobytes())
+    table = picked.mapInArrow(tidy(_sparse(held)), "doc_id long, y int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    return fit(table["y"].to_numpy().astype(np.int64), [v.values.to_numpy(zero_copy_only=False) for v in table["i"]], ratio)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

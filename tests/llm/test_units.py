@@ -117,10 +117,12 @@ def test_linear_models_learn():
         f, doc = toxicity._present(*toxicity.grams([t]), toxicity.BITS)
         rows.append(f)
         y.append(label)
-    model = toxicity.fit(np.array(y), rows, 1 << toxicity.BITS)
+    have = [sum(np.bincount(f, minlength=1 << toxicity.BITS) for f, k in zip(rows, y, strict=True) if k == label) for label in (1, 0)]
+    ratio = toxicity.ratios(*have, 60, 60)
+    model = toxicity.fit(np.array(y), [f[ratio[f] != 0] for f in rows], ratio)
     s = toxicity.scores(model, ["x" * 3000 + " Moron! ", clean[0], "", None])
     assert s[0] > 0.5 and s[1] < 0.5 and s[2] == s[3]
-    none = toxicity.fit(np.array([], int), [], 16)
+    none = toxicity.fit(np.array([], int), [], np.zeros(16))
     assert none.bias == 0 and not none.weights.any()
     batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([1, 0] * 40, pa.int32()), pa.array(["good words here indeed", "BAD!! BAD!! $$$ %%%"] * 40)], names=["doc_id", "y", "text"])
     f = next(quality._sparse(iter([batch])))

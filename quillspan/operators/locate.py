@@ -10,9 +10,12 @@ A needle is searched in every text, or, with ``group``, in the texts of its own
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +30,13 @@ SEED, LEAST_SEED, SEED_HITS = 12, 6, 50
 MARGIN, STRETCH, SLACK = 40, 1.6, 40
 TOP, FLOOR = 5, 0.55
 
-#: Largest number of keys or seeds that is broadcast at once; more go in blocks.
+#: Largest number of keys that is broadcast; more are joined.
 BROADCAST = 1 << 20
-#: Characters of a text that are cut into seeds together.
-PIECE = 240
+#: Largest number of seeds, about, that is broadcast at once; more go in blocks.
+SEEDS = 1 << 18
 _RUN, _GRAM = 4, 8
 _MATCH = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
-_CLUSTERS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("votes", T.IntegerType())]))
 
 
 def spread(texts: DataFrame) -> DataFrame:
@@ -124,11 +126,6 @@ def clustered(starts: list[int], reach: int = SEED) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(_CLUSTERS)
-def _clusters(starts: pd.Series) -> pd.Series:
-    return starts.map(lambda found: [{"start": s, "votes": v} for s, v in clustered(found.tolist())])
-
-
 def seeds(needles: DataFrame, *others: str) -> DataFrame:
     """(needle_id, others, offset, piece): needles cut into pieces of ``SEED`` characters, what is left over dropped.
 
@@ -140,34 +137,91 @@ def seeds(needles: DataFrame, *others: str) -> DataFrame:
     return cut.select("needle_id", *others, "offset", F.substring("needle", F.col("offset") + 1, F.lit(SEED)).alias("piece"))
 
 
-def _grams(hays: DataFrame, *others: str) -> DataFrame:
-    """(hay_id, others, at, piece): all pieces of ``SEED`` characters of all texts."""
-    # a substring is found by counting characters from the start, so texts are cut in two steps
-    cuts = F.sequence(F.lit(0), F.greatest(F.length("hay") - SEED, F.lit(0)), F.lit(PIECE))
-    parts = hays.where(F.length("hay") >= SEED).select("hay_id", *others, F.explode(F.transform(cuts, lambda c: F.struct(c.alias("at"), F.substring(F.col("hay"), c + 1, F.lit(PIECE + SEED - 1)).alias("text")))).alias("part"))
-    parts = parts.select("hay_id", *others, F.col("part.at").alias("base"), F.col("part.text").alias("text"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - (SEED - 1)), lambda i: F.substring(F.col("text"), i, F.lit(SEED)))
-    return parts.select("hay_id", *others, "base", F.posexplode(grams).alias("k", "piece")).select("hay_id", *others, (F.col("base") + F.col("k")).alias("at"), "piece")
+_held: dict[int, tuple] = {}
+
+
+def _automaton(key: int, content: bytes, group: str | None) -> tuple:
+    """(automaton, needle ids) of a broadcast block of seeds, made once in each worker."""
+    if key not in _held:
+        import ahocorasick
+
+        _held.clear()
+        table = pa.ipc.open_stream(content).read_all()
+        uses: dict[str, list[tuple]] = {}
+        for k, piece, offset, own in zip(range(len(table)), table["piece"].to_pylist(), table["offset"].to_pylist(), table[group].to_pylist() if group else [None] * len(table), strict=True):
+            uses.setdefault(piece, []).append((k, offset, own))
+        automaton = ahocorasick.Automaton()
+        for piece, of in uses.items():
+            automaton.add_word(piece, of)
+        if uses:
+            automaton.make_automaton()
+        _held[key] = (automaton, table["needle_id"].combine_chunks(), table["needle_id"].to_pylist())
+    return _held[key]
+
+
+def _scan(held, most: int, group: str | None):
+    """Texts to (needle_id, hay_id, start, votes), by one automaton over a block of seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, ids, names = _automaton(held.id, held.value, group)
+        for batch in batches:
+            needle, row, start, votes = [], [], [], []
+            groups = batch.column(group).to_pylist() if group else [None] * batch.num_rows
+            for i, (hay, own) in enumerate(zip(batch.column("hay").to_pylist(), groups, strict=True)):
+                seen: Counter[int] = Counter()
+                found: dict = {}
+                for end, uses in automaton.iter(hay) if hay and len(automaton) else ():
+                    seen[id(uses)] += 1
+                    if seen[id(uses)] <= most:
+                        for k, offset, theirs in uses:
+                            if theirs == own:
+                                found.setdefault(names[k], (k, []))[1].append(max(0, end - SEED + 1 - offset))
+                for k, starts in found.values():
+                    for s, v in clustered(starts):
+                        needle.append(k)
+                        row.append(i)
+                        start.append(s)
+                        votes.append(v)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(needle, pa.int64())), batch.column("hay_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(votes, pa.int32())], names=["needle_id", "hay_id", "start", "votes"])
+
+    return run
+
+
+class _Block:
+    """A broadcast block of seeds and the key by which workers keep what they made of it."""
+
+    def __init__(self, spark, content: bytes):
+        self.held = spark.sparkContext.broadcast(content)
+        self.id = self.held._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"held": self.held, "id": self.id}
+
+    @property
+    def value(self) -> bytes:
+        return self.held.value
 
 
 def candidates(hays: DataFrame, needles: DataFrame, most: int = SEED_HITS, group: str | None = None) -> DataFrame:
     """(needle_id, hay_id, start, votes) where a fuzzy match may begin; the first ``most`` hits of a seed in a text count.
 
-    Seeds, counted first, are broadcast in blocks of at most about ``BROADCAST``, one pass over
-    the texts each, so the pieces of texts, one a character, never leave their task.
+    Seeds, counted first, are broadcast in blocks of at most about ``SEEDS``, all of a needle
+    together. A block is one pass over the texts, which never leave their task.
     """
     on = [group] if group else []
     cut = seeds(needles.select("needle_id", "needle", *on), *on)
-    blocks = max(1, -(-cut.count() // BROADCAST))
-    grams, hits = _grams(hays, *on), None
+    blocks = max(1, -(-cut.count() // SEEDS))
+    kinds = {f.name: f.dataType.simpleString() for f in [*hays.schema.fields, *needles.schema.fields]}
+    texts, found = hays.select("hay_id", *on, "hay"), None
     for k in range(blocks):
-        part = cut if blocks == 1 else cut.where(F.pmod(F.xxhash64("piece"), F.lit(blocks)) == k)
-        met = grams.join(F.broadcast(part), ["piece", *on]).select("needle_id", "hay_id", "offset", "at")
-        hits = met if hits is None else hits.unionByName(met)
-    first = hits.groupBy("needle_id", "hay_id", "offset").agg(F.slice(F.array_sort(F.collect_list("at")), 1, most).alias("ats"))
-    starts = first.select("needle_id", "hay_id", F.transform("ats", lambda a: F.greatest(F.lit(0), a - F.col("offset"))).alias("starts"))
-    found = starts.groupBy("needle_id", "hay_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return found.select("needle_id", "hay_id", F.explode(_clusters("starts")).alias("c")).select("needle_id", "hay_id", "c.start", "c.votes")
+        table = (cut if blocks == 1 else cut.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k)).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        block = _Block(hays.sparkSession, sink.getvalue().to_pybytes())
+        part = texts.mapInArrow(_scan(block, most, group), f"needle_id {kinds['needle_id']}, hay_id {kinds['hay_id']}, start int, votes int")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _best_blocks(window: str, needle: str, least: int, floor: float) -> tuple[int, int, float] | None:

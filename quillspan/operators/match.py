@@ -11,7 +11,7 @@ from quillspan.functions.text import overlap, title_key, title_tokens
 # The least score, and what authors without a common word take from it.
 THRESHOLD, PENALTY = 0.75, 0.25
 #: Catalogues of at most so many pairs, counted first, are compared pair by pair.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def _bag(text: Column) -> Column:
@@ -20,6 +20,12 @@ def _bag(text: Column) -> Column:
     return F.transform(sorted_chars, lambda c, i: F.concat(c, (i + 1 - F.array_position(sorted_chars, c)).cast("string")))
 
 
+def _pairs_of(text: Column) -> Column:
+    """The pairs of neighbouring characters of a text, numbered like ``_bag``."""
+    two = F.array_sort(F.transform(F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)), lambda i: F.substring(text, i, F.lit(2))))
+    return F.coalesce(F.transform(two, lambda c, i: F.concat(c, (i + 1 - F.array_position(two, c)).cast("string"))), F.array().cast("array<string>"))
+
+
 def _ranked(sets: DataFrame, freq: DataFrame, keep: Column) -> DataFrame:
     """``sets`` (..., items) with ``all`` items and the ``prefix``: the ``keep`` rarest of its ``size`` items."""
     names = [c for c in sets.columns if c != "items"]
@@ -67,17 +73,22 @@ def best_match(titles: DataFrame, library: DataFrame, threshold: float = THRESHO
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie above 0 and not above 1")
     author_tokens = lambda c: title_tokens(F.coalesce(F.col(c), F.lit("")))
-    mine = titles.select("title", "author").distinct().withColumn("tokens", title_tokens(F.col("title"))).withColumn("norm", title_key(F.col("title"))).withColumn("authors", author_tokens("author")).where(F.size("tokens") > 0).withColumn("bag", _bag(F.col("norm")))
-    theirs = library.select("seq", "lib_key", "lib_title", "lib_author").withColumn("lib_tokens", title_tokens(F.col("lib_title"))).withColumn("lib_norm", title_key(F.col("lib_title"))).withColumn("lib_authors", author_tokens("lib_author")).where(F.size("lib_tokens") > 0).withColumn("lib_bag", _bag(F.col("lib_norm")))
+    mine = titles.select("title", "author").distinct().withColumn("tokens", title_tokens(F.col("title"))).withColumn("norm", title_key(F.col("title"))).withColumn("authors", author_tokens("author")).where(F.size("tokens") > 0).withColumn("bag", _bag(F.col("norm"))).withColumn("two", _pairs_of(F.col("norm")))
+    theirs = library.select("seq", "lib_key", "lib_title", "lib_author").withColumn("lib_tokens", title_tokens(F.col("lib_title"))).withColumn("lib_norm", title_key(F.col("lib_title"))).withColumn("lib_authors", author_tokens("lib_author")).where(F.size("lib_tokens") > 0).withColumn("lib_bag", _bag(F.col("lib_norm"))).withColumn("lib_two", _pairs_of(F.col("lib_norm")))
     pairs = mine.count() * theirs.count()
     met = _candidates(mine, theirs, threshold).toDF("__t", "__a", "__s") if pairs > PAIRS else None
-    both = mine.drop("bag").crossJoin(F.broadcast(theirs.drop("lib_bag"))) if met is None else met.join(mine.drop("bag"), (F.col("__t") == F.col("title")) & F.col("__a").eqNullSafe(F.col("author"))).join(theirs.drop("lib_bag"), F.col("__s") == F.col("seq"))
+    both = mine.crossJoin(F.broadcast(theirs)) if met is None else met.join(mine, (F.col("__t") == F.col("title")) & F.col("__a").eqNullSafe(F.col("author"))).join(theirs, F.col("__s") == F.col("seq"))
     apart = (F.size("authors") > 0) & (F.size("lib_authors") > 0) & ~F.arrays_overlap("authors", "lib_authors")
     fine = both.withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
-    # a full overlap can't be bettered by the ratio, and a ratio is bounded by the lengths
+    # a full overlap can't be bettered by the ratio, which is bounded by the lengths, by the characters in
+    # common, and by the pairs in common: m matched characters have at least 3 m - a - b - 1 of these
     a, b = F.length("norm"), F.length("lib_norm")
     bound = 2 * F.least(a, b) / F.greatest(a + b, F.lit(1))
+    least = (threshold + F.col("less")) * (a + b) / 2 - 1e-6
+    common = lambda x, y: F.size(F.array_intersect(x, y))
     useful = (F.col("shared") < 1) & (bound - F.col("less") >= threshold) & (bound > F.col("shared"))
+    useful = useful & F.when(useful, common("bag", "lib_bag") >= least).otherwise(False)
+    useful = useful & F.when(useful, common("two", "lib_two") >= 3 * least - a - b - 1).otherwise(False)
     like = F.coalesce(ratio(F.when(useful, F.col("norm")), F.when(useful, F.col("lib_norm"))), F.lit(0.0))
     fine = fine.withColumn("score", F.greatest(F.col("shared"), like) - F.col("less")).where((F.col("score") >= threshold) & (F.col("score") > 0))
     best = fine.groupBy("title", "author").agg(F.max_by(F.struct("lib_key", "score", "seq"), F.struct("score", -F.col("seq"))).alias("m"))

@@ -78,6 +78,7 @@ def test_cascade_is_the_plain_one(spark, monkeypatch):
     assert {v[0] for v in want.values()} == {"exact", "anchor", "fuzzy"}
     for bound in (1 << 20, 40):  # 40: keys are joined instead of broadcast, seeds go in blocks
         monkeypatch.setattr(locate, "BROADCAST", bound)
+        monkeypatch.setattr(locate, "SEEDS", bound)
         assert found(locate.located(h.drop("book_id", "spine"), q.drop("book_id")), "needle_id", "hay_id") == want
     own = {k: v for k, v in want.items() if k[0] % 3 == k[1] % 3}
     assert found(locate.located(h.drop("spine"), q, group="book_id"), "needle_id", "hay_id") == own

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.operators.locate import spread
+
 from . import chat, decontaminate, language, media, mixing, neardup, quality, substring, token_counts, toxicity
 from .sample import remainder
 
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,8 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts, for operators that work in Python; dealt anew only if the file would leave cores idle."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     scored = quality.score(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -63,14 +69,14 @@ FROM t GROUP BY conv_id
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = language.train(docs.where(remainder("doc_id", 5) != 0))
     said = language.predict(docs.select("doc_id", "text"), model, reject=False)
     return said.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring.removals(documents(spark, sf_dir))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
@@ -97,7 +103,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -124,7 +130,7 @@ SELECT doc_id, item_id, n_shingles, n_shared FROM k JOIN n USING (item_id) WHERE
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = neardup.groups(documents(spark, sf_dir), shingle=2, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -148,7 +154,7 @@ FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = media.stored(table(spark, sf_dir, "documents"))
+    store = media.stored(documents(spark, sf_dir))
     known = media.described(store)
     page = F.concat(F.lit('<figure><img alt="payload" src="sha256:'), "digest", F.lit('"><figcaption>'), F.coalesce(F.col("n_bytes").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
     pages = media.interleaved(store.select("doc_id", page.alias("html")))
@@ -164,7 +170,7 @@ def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    counts = token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 

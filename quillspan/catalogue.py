@@ -226,7 +226,7 @@ def similar_text(t):
     own = _said(t, F.col("text"))
     spoilt = _said(t, F.when(F.col("role") == "user", F.regexp_replace("text", "(.{9}).", "$1"))).withColumn("row_id", -F.col("row_id") - 1)
     other = own.unionByName(spoilt).toDF("other", "book_id", "other_norm")
-    pairs = own.join(other, "book_id").where("other < 0 or row_id < other")
+    pairs = locate.fanned(own.join(other, "book_id").where("other < 0 or row_id < other"), "row_id", "other")
     near = similar(F.col("norm"), F.col("other_norm"), 0.8)
     return pairs.where(near).select("row_id", "other", (F.contains("norm", F.col("other_norm")) | F.contains("other_norm", F.col("norm"))).alias("contained"))
 

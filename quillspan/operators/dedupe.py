@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.similarity import similar
 from quillspan.functions.text import related, stripped
-from quillspan.operators.locate import pairs
+from quillspan.operators.locate import fanned, pairs
 
 # Fixed value: what a clip says whose text the device kept back.
 LIMIT_NOTICE = "<You have reached the clipping limit"
@@ -65,7 +65,7 @@ def _resembling(rows: DataFrame, known: DataFrame, threshold: float, group: str)
     met = inside.distinct().join(own, "needle_id").join(other.drop(group), "hay_id").where(F.contains("hay", F.col("needle")) | F.contains("needle", F.col("hay")))
     band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / min(max(threshold, 0.05), 0.95)))).cast("int")
     a = own.withColumn("__band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band("needle") + d)))
-    near = a.join(other.withColumn("__band", band("hay")), [group, "__band"]).where(similar(F.col("needle"), F.col("hay"), threshold))
+    near = fanned(a.join(other.withColumn("__band", band("hay")), [group, "__band"]), "needle_id", "hay_id").where(similar(F.col("needle"), F.col("hay"), threshold))
     return met.select(group, F.col("needle").alias("norm")).unionByName(near.select(group, F.col("needle").alias("norm"))).distinct()
 
 

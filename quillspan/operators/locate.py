@@ -45,6 +45,11 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
 
 
+def fanned(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows that each take long, dealt over as many tasks as a shuffle has; small ones would else share one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def exact_start(hay: Column, needle: Column) -> Column:
     """0-based place of the needle's first occurrence, or null; an empty needle is nowhere."""
     at = F.instr(hay, needle)
@@ -265,7 +270,8 @@ def located_fuzzily(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, t
     low = F.greatest(F.lit(0), F.col("start") - MARGIN)
     high = F.least(F.length("hay"), F.col("start") + F.length("needle") + MARGIN)
     near = near.withColumn("low", low).withColumn("window", F.substring("hay", F.col("low") + 1, high - F.col("low")))
-    scored = near.select("needle_id", within, "hay_id", "rank", "low", window_match(floor)("window", "needle", least_block(F.col("needle"))).alias("m")).where("m.score is not null")
+    near = fanned(near.select("needle_id", *dict.fromkeys([within, "hay_id"]), "rank", "low", "window", "needle"), "needle_id", "hay_id", "rank")
+    scored = near.select("needle_id", *dict.fromkeys([within, "hay_id"]), "rank", "low", window_match(floor)("window", "needle", least_block(F.col("needle"))).alias("m")).where("m.score is not null")
     pick = F.max_by(F.struct("hay_id", (F.col("low") + F.col("m.start")).alias("start"), F.col("m.length").alias("length"), F.col("m.score").alias("score")), F.struct(F.col("m.score"), -F.col("rank")))
     return scored.groupBy("needle_id", within).agg(pick.alias("p")).select("needle_id", "p.hay_id", F.lit("fuzzy").alias("stage"), "p.start", "p.length", "p.score")
 

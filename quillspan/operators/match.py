@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.similarity import ratio
 from quillspan.functions.text import overlap, title_key, title_tokens
+from quillspan.operators.locate import fanned
 
 # The least score, and what authors without a common word take from it.
 THRESHOLD, PENALTY = 0.75, 0.25
 #: Catalogues of at most so many pairs, counted first, are compared pair by pair.
-PAIRS = 1 << 18
+PAIRS = 1 << 22
 
 
 def _bag(text: Column) -> Column:
@@ -79,7 +80,7 @@ def best_match(titles: DataFrame, library: DataFrame, threshold: float = THRESHO
     met = _candidates(mine, theirs, threshold).toDF("__t", "__a", "__s") if pairs > PAIRS else None
     both = mine.crossJoin(F.broadcast(theirs)) if met is None else met.join(mine, (F.col("__t") == F.col("title")) & F.col("__a").eqNullSafe(F.col("author"))).join(theirs, F.col("__s") == F.col("seq"))
     apart = (F.size("authors") > 0) & (F.size("lib_authors") > 0) & ~F.arrays_overlap("authors", "lib_authors")
-    fine = both.withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
+    fine = fanned(both, "title", "seq").withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
     # a full overlap can't be bettered by the ratio, which is bounded by the lengths, by the characters in
     # common, and by the pairs in common: m matched characters have at least 3 m - a - b - 1 of these
     a, b = F.length("norm"), F.length("lib_norm")

@@ -78,9 +78,9 @@ def best_match(titles: DataFrame, library: DataFrame, threshold: float = THRESHO
     theirs = library.select("seq", "lib_key", "lib_title", "lib_author").withColumn("lib_tokens", title_tokens(F.col("lib_title"))).withColumn("lib_norm", title_key(F.col("lib_title"))).withColumn("lib_authors", author_tokens("lib_author")).where(F.size("lib_tokens") > 0).withColumn("lib_bag", _bag(F.col("lib_norm"))).withColumn("lib_two", _pairs_of(F.col("lib_norm")))
     pairs = mine.count() * theirs.count()
     met = _candidates(mine, theirs, threshold).toDF("__t", "__a", "__s") if pairs > PAIRS else None
-    both = mine.crossJoin(F.broadcast(theirs)) if met is None else met.join(mine, (F.col("__t") == F.col("title")) & F.col("__a").eqNullSafe(F.col("author"))).join(theirs, F.col("__s") == F.col("seq"))
+    both = fanned(mine, "title", "author").crossJoin(F.broadcast(theirs)) if met is None else met.join(mine, (F.col("__t") == F.col("title")) & F.col("__a").eqNullSafe(F.col("author"))).join(theirs, F.col("__s") == F.col("seq"))
     apart = (F.size("authors") > 0) & (F.size("lib_authors") > 0) & ~F.arrays_overlap("authors", "lib_authors")
-    fine = fanned(both, "title", "seq").withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
+    fine = both.withColumn("less", F.when(apart, PENALTY).otherwise(0.0)).withColumn("shared", overlap(F.col("tokens"), F.col("lib_tokens")))
     # a full overlap can't be bettered by the ratio, which is bounded by the lengths, by the characters in
     # common, and by the pairs in common: m matched characters have at least 3 m - a - b - 1 of these
     a, b = F.length("norm"), F.length("lib_norm")
@@ -90,6 +90,9 @@ def best_match(titles: DataFrame, library: DataFrame, threshold: float = THRESHO
     useful = (F.col("shared") < 1) & (bound - F.col("less") >= threshold) & (bound > F.col("shared"))
     useful = useful & F.when(useful, common("bag", "lib_bag") >= least).otherwise(False)
     useful = useful & F.when(useful, common("two", "lib_two") >= 3 * least - a - b - 1).otherwise(False)
+    fine = fine.withColumn("useful", useful).where("useful or shared - less >= " + repr(float(threshold)))
+    fine = fanned(fine.select("title", "author", "seq", "lib_key", "norm", "lib_norm", "less", "shared", "useful"), "title", "seq")
+    useful = F.col("useful")
     like = F.coalesce(ratio(F.when(useful, F.col("norm")), F.when(useful, F.col("lib_norm"))), F.lit(0.0))
     fine = fine.withColumn("score", F.greatest(F.col("shared"), like) - F.col("less")).where((F.col("score") >= threshold) & (F.col("score") > 0))
     best = fine.groupBy("title", "author").agg(F.max_by(F.struct("lib_key", "score", "seq"), F.struct("score", -F.col("seq"))).alias("m"))

@@ -13,7 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes, or characters, that are handled together: so many that NumPy's calls don't tell, so few
+#: that their arrays stay in a core's cache.
+BLOCK = 1 << 17
 _U = np.uint64
 #: Bytes of a word up to this place have their value in a table.
 _PLACES = 64

@@ -29,6 +29,8 @@ from .tokens import letter_streams, mix, text_blocks
 from .workers import bounded, tidy
 
 BITS = 20
+#: Characters whose n-grams are made together.
+BLOCK = 1 << 15
 SIZES = (3, 4, 5, 6)
 #: Bound of the training sample: so many labelled documents of either class.
 PER_CLASS = 2500
@@ -42,8 +44,8 @@ class Model:
     bias: float
 
 
-def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(features at each place, the text each belongs to), repeats included."""
+def grams(texts: list[str | None], bits: int = BITS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features at each place, the text each belongs to), repeats included; of all or the ``wanted`` features."""
     points, first, _ = letter_streams(texts, 1)
     value = points.astype(np.uint64)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
@@ -52,8 +54,11 @@ def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.nda
     for k in range(1, max(SIZES)):
         rolled = rolled[:-1] * np.uint64(0x100000001B3) + value[k:]
         if k + 1 in SIZES and len(rolled):
+            feature = (mix(rolled + np.uint64(k << 56)) >> np.uint64(64 - bits)).astype(np.int64)
             inside = doc[: len(rolled)] == doc[k:]
-            out.append((mix(rolled[inside] + np.uint64(k << 56)) >> np.uint64(64 - bits)).astype(np.int64))
+            if wanted is not None:
+                inside &= wanted[feature]
+            out.append(feature[inside])
             of.append(doc[: len(rolled)][inside])
     return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
@@ -64,11 +69,9 @@ def _present(feature: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarra
 
 
 def scores(model: Model, texts: list[str | None], bits: int = BITS) -> np.ndarray:
-    out = np.empty(len(texts))
-    for lo, hi in text_blocks(texts):
-        f, doc = grams(texts[lo:hi], bits)
-        counts = model.weights[f] != 0
-        f, doc = _present(f[counts], doc[counts], bits)
+    out, wanted = np.empty(len(texts)), model.weights != 0
+    for lo, hi in text_blocks(texts, BLOCK):
+        f, doc = _present(*grams(texts[lo:hi], bits, wanted), bits)
         dot = np.bincount(doc, model.weights[f], hi - lo) + model.bias
         out[lo:hi] = 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
     return out
@@ -79,10 +82,10 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, y = batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False)
         count = np.zeros((2, 1 << BITS), np.int32)
-        for lo, hi in text_blocks(texts):
+        for lo, hi in text_blocks(texts, BLOCK):
             f, doc = _present(*grams(texts[lo:hi]), BITS)
             for label in (0, 1):
-                count[label] += np.bincount(f[y[lo:hi][doc] == label], minlength=1 << BITS).astype(np.int32)
+                np.add.at(count[label], f[y[lo:hi][doc] == label], 1)
         at = np.flatnonzero(count.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[1, at].astype(np.int64)), pa.array(count[0, at].astype(np.int64))], names=["feature", "toxic", "other"])
 
@@ -94,9 +97,8 @@ def _sparse(held):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             got: list[np.ndarray] = []
-            for lo, hi in text_blocks(texts):
-                f, doc = _present(*grams(texts[lo:hi]), BITS)
-                f, doc = f[tells[f]], doc[tells[f]]
+            for lo, hi in text_blocks(texts, BLOCK):
+                f, doc = _present(*grams(texts[lo:hi], BITS, tells), BITS)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 got += [f[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "y", "i"])

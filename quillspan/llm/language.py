@@ -150,10 +150,38 @@ def build(tables: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Mode
     return model
 
 
+_starts: dict[int, tuple[np.ndarray, np.uint64, np.ndarray]] = {}
+
+
+def _buckets(sorted_keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """(shift, starts): where the keys of each leading part begin in a sorted array; about one key a part."""
+    known = _starts.get(id(sorted_keys))
+    if known is None or known[0] is not sorted_keys:
+        bits = max(1, int(len(sorted_keys)).bit_length() + 1)
+        shift = np.uint64(64 - bits)
+        starts = np.searchsorted(sorted_keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        if len(_starts) > 64:
+            _starts.clear()
+        known = _starts[id(sorted_keys)] = (sorted_keys, shift, starts)
+    return known[1], known[2]
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return at, sorted_keys[at] == keys
+    """(place in the sorted array, whether it holds the key) of each key."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    shift, starts = _buckets(sorted_keys)
+    part = (keys >> shift).astype(np.int64)
+    at, stop = starts[part], starts[part + 1]
+    np.minimum(at, len(sorted_keys) - 1, out=at)
+    hit = sorted_keys[at] == keys
+    rest = np.flatnonzero(~hit & (at + 1 < stop))
+    while len(rest):
+        at[rest] += 1
+        same = sorted_keys[at[rest]] == keys[rest]
+        hit[rest[same]] = True
+        rest = rest[~same & (at[rest] + 1 < stop[rest])]
+    return at, hit
 
 
 @dataclass
@@ -224,8 +252,10 @@ def _sums(model: Model, texts: list[str | None], lo: int = 0, hi: int = 1 << 32)
         value = model.logp[n - 1][at[hit]]
         if pending is not None:
             value = value + pending[hit]
-        for j in range(len(model.langs)):
-            out[:, j] += np.bincount(owner[left[hit]], value[:, j], len(texts))
+        if len(value):  # places go by text, so that a text's values are neighbours
+            of = owner[left[hit]]
+            cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            out[of[cut]] += np.add.reduceat(value, cut, axis=0, dtype=np.float64)
         miss = ~hit
         left = left[miss]
         pending = pending[miss] if pending is not None else np.zeros((len(left), len(model.langs)), np.float32)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.spans import document_part
 from quillspan.storage import written
 
 ACCEPT = 0.85
@@ -87,6 +88,12 @@ def round_trip_class(start: Column, end: Column, got_start: Column, got_end: Col
     return F.when(got_start.isNull(), "miss").when(near, "exact").otherwise("close")
 
 
+def address_class(want: Column, got: Column) -> Column:
+    """exact for the same address, close for another one in the same document, miss for any other or none."""
+    same = F.coalesce(document_part(want) == document_part(got), F.lit(False))
+    return F.when(F.coalesce(want == got, F.lit(False)), "exact").when(same, "close").otherwise("miss")
+
+
 def validation(rows: DataFrame, by: str = "book_id", gate: float = 0.95) -> DataFrame:
     """Counts of ``class`` by book and, with a null book, in all; rate and whether it passes the gate.
 

@@ -195,6 +195,27 @@ def flow_to_addresses(spark, t, folder):
     return out.select("seq", "outcome", (F.nullif(spine, F.lit("")).cast("int") / 2 - 1).cast("int").alias("spine"))
 
 
+@query(
+    _TALKS
+    + f""", d AS (SELECT conv_id, i, x, {_norm('x')} AS n FROM c WHERE conv_id % 5 <> 0),
+h AS (SELECT m.conv_id, m.i, min(d.i) AS hit, any_value(length(m.n) = length(m.x)) AS plain FROM d m JOIN d ON m.conv_id = d.conv_id AND contains(d.n, m.n) WHERE m.n <> '' GROUP BY 1, 2)
+SELECT CAST(conv_id AS VARCHAR) AS book_id, count(*) AS total, count(*) FILTER (hit = i AND plain) AS exact, count(*) FILTER (hit = i AND NOT plain) AS close, count(*) FILTER (hit <> i) AS miss, count(*) FILTER (hit = i AND plain) / count(*) AS rate, count(*) FILTER (hit = i AND plain) / count(*) >= 0.95 AS passes FROM h GROUP BY ROLLUP (1)"""
+)
+def validate_addresses(spark, t, folder):
+    """Ground truth: the address of every turn as a whole, searched for by its text in its conversation's book."""
+    read = books.read_epub(spark, _epubs(t, folder)).withColumn("book_id", F.regexp_extract("path", r"([^/]+)[.]epub$", 1))
+    turns = _talks(t).where("conv_id % 5 <> 0").select("conv_id", F.posexplode("ts").alias("i", "x"))
+    step = F.concat(F.lit("epubcfi(/6/"), (2 * F.col("i") + 2).cast("string"), F.lit("[t"), F.col("i").cast("string"), F.lit("]!/4/2/1,:0,:"), F.length("x.text").cast("string"), F.lit(")"))
+    name = F.md5(F.col("conv_id").cast("string").cast("binary"))
+    truth = turns.select((1000 * F.col("conv_id") + F.col("i")).alias("seq"), name.alias("title"), F.lit(None).cast("string").alias("author"), F.lit("Highlight").alias("kind"), F.col("x.text").alias("text"), step.alias("want"), F.col("conv_id").cast("string").alias("book_id"))
+    truth = truth.where(normalized(F.col("text")) != "")
+    shelf = truth.select(F.col("book_id").cast("long").alias("seq"), F.col("book_id").alias("key"), "title", "author").distinct()
+    none = spark.createDataFrame([], "asset_id string, address string, norm string")
+    got = flows.log_to_addresses(truth.drop("want", "book_id"), shelf, read, none).select("seq", "address")
+    rows = truth.join(got, "seq", "left").withColumn("class", outcomes.address_class(F.col("want"), F.col("address")))
+    return outcomes.validation(rows)
+
+
 def _ranges(t) -> DataFrame:
     """(row_id, book_id, start, end, text) of every turn that has a text."""
     turns = _talks(t).select("conv_id", F.posexplode("ts").alias("i", "x")).where("x.text <> ''")

@@ -194,6 +194,14 @@ def test_outbox_and_codes(spark, tmp_path):
         apply.only_store(str(tmp_path), "*/none.sqlite")
 
 
+def test_saved_chunks_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a.json", [(5, "one"), (20, "é two")]), ("b.json", [])], "name string, chunks array<struct<pid: int, text: string>>")
+    apply.save_chunks(rows, str(tmp_path))
+    apply.save_chunks(rows, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["text_length"]) for r in books.read_chunks(spark, f"{tmp_path}/*.json").collect()}
+    assert got == {"a.json": ("oneé two", 24), "b.json": ("", 0)} and len(list(tmp_path.iterdir())) == len([p for p in tmp_path.iterdir() if p.name in ("a.json", "b.json")])
+
+
 def book(spark, texts):
     """Books of texts whose character i has position 10 + 2 i."""
     rows = [(b, t, [10 + 2 * i for i in range(len(t))]) for b, t in texts.items()]

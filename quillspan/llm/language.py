@@ -29,6 +29,7 @@ first. Repeated rows are answered each; other columns stay.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -150,19 +151,21 @@ def build(tables: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Mode
     return model
 
 
-_starts: dict[int, tuple[np.ndarray, np.uint64, np.ndarray]] = {}
+_starts: dict[int, tuple[weakref.ref, np.uint64, np.ndarray]] = {}
 
 
 def _buckets(sorted_keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
-    """(shift, starts): where the keys of each leading part begin in a sorted array; about one key a part."""
-    known = _starts.get(id(sorted_keys))
-    if known is None or known[0] is not sorted_keys:
+    """(shift, starts): where the keys of each leading part begin in a sorted array; about one key a part.
+
+    Kept as long as the array: a worker loads the models anew for each task.
+    """
+    key = id(sorted_keys)
+    known = _starts.get(key)
+    if known is None or known[0]() is not sorted_keys:
         bits = max(1, int(len(sorted_keys)).bit_length() + 1)
         shift = np.uint64(64 - bits)
         starts = np.searchsorted(sorted_keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-        if len(_starts) > 64:
-            _starts.clear()
-        known = _starts[id(sorted_keys)] = (sorted_keys, shift, starts)
+        known = _starts[key] = (weakref.ref(sorted_keys, lambda _: _starts.pop(key, None)), shift, starts)
     return known[1], known[2]
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.functions import bounds
+
 
 def _ratio(a: str | None, b: str | None, junk: bool) -> float | None:
     if a is None or b is None:
@@ -26,25 +28,13 @@ def _without_junk(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y, False) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, which difflib's matches never exceed; bits of one integer for a."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    rest = full
-    for c in b:
-        hit = rest & at.get(c, 0)
-        rest = (rest + hit | rest - hit) & full
-    return len(a) - rest.bit_count()
-
-
 def _reaches(a: str | None, b: str | None, threshold: float) -> bool | None:
     if a is None or b is None:
         return None
-    if 2 * _common(a, b) < threshold * (len(a) + len(b)):
+    # difflib's matches never exceed the longest common subsequence
+    if 2 * bounds.common(bounds.masks(a), len(a), b) < threshold * (len(a) + len(b)):
         return False
-    return _ratio(a, b, False) >= threshold
+    return bounds.reaches(a, b, threshold)
 
 
 def _close(threshold: float):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.similarity import similar
+from quillspan.functions.bounds import similar_pairs
 from quillspan.functions.text import related, stripped
-from quillspan.operators.locate import fanned, pairs
 
 # Fixed value: what a clip says whose text the device kept back.
 LIMIT_NOTICE = "<You have reached the clipping limit"
@@ -46,27 +46,47 @@ def without_covered(rows: DataFrame, known: DataFrame, group: str = "book_id", s
     return rows.join(k, (F.col(group) == F.col("__g")) & met, "left_anti")
 
 
+def _compared(rows: DataFrame, known: DataFrame, threshold: float, group: str, once: bool, columns: str, give) -> DataFrame:
+    """What ``give`` (rows, known, pairs) makes of the distinct texts of each group that are similar; a group meets in one task."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine, theirs = (sorted(set(t["norm"].to_pylist()), key=lambda x: (len(x), x)) for t in (left, right))
+        return give(left, right, [(mine[i], theirs[j]) for i, j in similar_pairs(mine, theirs, threshold, once)])
+
+    own, other = (x.where(F.col(group).isNotNull() & (F.col("norm") != "")) for x in (rows, known))
+    return own.groupBy(group).cogroup(other.groupBy(group)).applyInArrow(meet, columns)
+
+
 def _resembling(rows: DataFrame, known: DataFrame, threshold: float, group: str) -> DataFrame:
-    """(group, norm): the texts of ``rows`` that resemble a known one of their group.
+    """(group, norm): the texts of ``rows`` that resemble a known one of their group; equal texts are compared once."""
+
+    def give(left: pa.Table, right: pa.Table, pairs: list) -> pa.Table:
+        texts = [a for a, _ in pairs]
+        return pa.table({group: left[group].combine_chunks().take(pa.array([0] * len(texts), pa.int64())), "norm": pa.array(texts, pa.string())})
 
-    Equal texts are compared once. Texts that contain another meet it by a key of the smaller
-    one; texts of like length meet in bands of lengths, whose step is the least quotient of two
-    lengths that may be similar, so that only neighbouring bands meet.
+    kind = rows.schema[group].dataType.simpleString()
+    return _compared(rows.select(group, "norm"), known.select(group, "norm"), threshold, group, True, f"`{group}` {kind}, norm string", give)
+
+
+def similar_pairs_of(rows: DataFrame, others: DataFrame, threshold: float, group: str = "book_id", later: bool = False) -> DataFrame:
+    """(row_id, other, contained) of rows (row_id, norm) and others (other, norm) of a group whose texts are similar.
+
+    With ``later`` only of others above the row's own id.
     """
-    mine = rows.where("norm <> ''").select(group, "norm").distinct()
-    theirs = known.where("norm <> ''").select(group, "norm").distinct()
-    key = F.md5(F.concat_ws(":", F.col(group).cast("string"), "norm").cast("binary"))
-
-    def named(texts: DataFrame, kind: str) -> DataFrame:
-        return texts.select(group, key.alias(f"{kind}_id"), F.col("norm").alias(kind))
-
-    inside = pairs(named(theirs, "hay"), named(mine, "needle"), group).unionByName(pairs(named(mine, "hay"), named(theirs, "needle"), group).select(F.col("hay_id").alias("needle_id"), F.col("needle_id").alias("hay_id")))
-    own, other = named(mine, "needle"), named(theirs, "hay")
-    met = inside.distinct().join(own, "needle_id").join(other.drop(group), "hay_id").where(F.contains("hay", F.col("needle")) | F.contains("needle", F.col("hay")))
-    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / min(max(threshold, 0.05), 0.95)))).cast("int")
-    a = own.withColumn("__band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band("needle") + d)))
-    near = fanned(a.join(other.withColumn("__band", band("hay")), [group, "__band"]), "needle_id", "hay_id").where(similar(F.col("needle"), F.col("hay"), threshold))
-    return met.select(group, F.col("needle").alias("norm")).unionByName(near.select(group, F.col("needle").alias("norm"))).distinct()
+
+    def give(left: pa.Table, right: pa.Table, pairs: list) -> pa.Table:
+        mine: dict[str, list] = {}
+        theirs: dict[str, list] = {}
+        for of, ids, table in ((mine, "row_id", left), (theirs, "other", right)):
+            for text, k in zip(table["norm"].to_pylist(), table[ids].to_pylist(), strict=True):
+                if k is not None:
+                    of.setdefault(text, []).append(k)
+        found = [(i, j, a in b or b in a) for a, b in pairs for i in mine.get(a, ()) for j in theirs.get(b, ()) if not later or i < j]
+        i, j, inside = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"row_id": pa.array(i, left["row_id"].type), "other": pa.array(j, right["other"].type), "contained": pa.array(inside, pa.bool_())})
+
+    kinds = rows.schema["row_id"].dataType.simpleString(), others.schema["other"].dataType.simpleString()
+    return _compared(rows.select(group, "row_id", "norm"), others.select(group, "other", "norm"), threshold, group, False, f"row_id {kinds[0]}, other {kinds[1]}, contained boolean", give)
 
 
 def without_similar(rows: DataFrame, known: DataFrame, threshold: float = 0.8, group: str = "book_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from difflib import SequenceMatcher
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,12 @@ def test_outcomes_and_plan(spark):
     assert outcomes.plan(many, limit=0).count() == 0
     with pytest.raises(ValueError):
         outcomes.plan(many, limit=-1)
+
+
+def test_unlike_titles_make_no_candidates(spark):
+    """Hexadecimal titles share many characters, but only equal ones can match."""
+    names = [md5(str(i).encode()).hexdigest() for i in range(120)]
+    library = [(i, f"k{i}", n, None) for i, n in enumerate(names[:100])]
+    mine = spark.createDataFrame([(n, None, [n], n, [], [c + "1" for c in sorted(set(n))]) for n in names], "title string, author string, tokens array<string>, norm string, authors array<string>, bag array<string>")
+    theirs = spark.createDataFrame([(i, k, n, [n], n, [], [c + "1" for c in sorted(set(n))]) for i, k, n, _ in library], "seq long, lib_key string, lib_title string, lib_tokens array<string>, lib_norm string, lib_authors array<string>, lib_bag array<string>")
+    assert sorted((r["title"], r["seq"]) for r in match._candidates(mine, theirs, 0.75).collect()) == sorted((n, i) for i, _, n, _ in library)

@@ -1,18 +1,18 @@
 """Finding passages in long texts: exact, then by both ends, then fuzzily around common seeds.
 
-Texts and needles are normalised first. Texts and needles meet by keys, never all with all:
-the first two stages by whole words that stand inside the needle's head, the third by pieces
-of ``SEED`` characters. Keys travel alone; texts are joined to the few pairs that they leave.
-Each stage is asked only for the pairs that the stages before it left open.
+Texts and needles are normalised first. Texts are scanned for the needles' heads in the first
+two stages and for pieces of ``SEED`` characters in the third, by automata over all needles, so
+that texts don't travel. Of what the third stage compares it hands on the windows alone, and
+only for the pairs that the stages before it left open.
 
 A needle is searched in every text, or, with ``group``, in the texts of its own group only.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.functions.bounds import matching_blocks
 from quillspan.functions.text import least_block
 from quillspan.storage import written
 
@@ -30,11 +31,10 @@ SEED, LEAST_SEED, SEED_HITS = 12, 6, 50
 MARGIN, STRETCH, SLACK = 40, 1.6, 40
 TOP, FLOOR = 5, 0.55
 
-#: Largest number of keys that is broadcast; more are joined.
+#: Largest number of needles that is broadcast at once; more go in blocks.
 BROADCAST = 1 << 20
-#: Largest number of seeds, about, that is broadcast at once; more go in blocks.
+#: Largest number of seeds, about, whose needles are broadcast at once; more go in blocks.
 SEEDS = 1 << 18
-_RUN, _GRAM = 4, 8
 _MATCH = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
 
@@ -66,60 +66,6 @@ def anchor_span(hay: Column, needle: Column) -> Column:
     return F.when(fits, F.struct((head - 1).alias("start"), length.alias("length")))
 
 
-def _keyed(needles: DataFrame) -> DataFrame:
-    """``needles`` with __kind and __key: what every text that holds the needle's head must have.
-
-    The head's first and last piece may be parts of words, those between are whole words. Of up
-    to ``_RUN`` of these the hash is the key (kind w1, w2, ...), of a single run the one behind
-    the first piece; a needle without such a word goes by its first characters (c1 to c8).
-    """
-    inner = F.split(F.left("needle", F.lit(ANCHOR)), " ")
-    rows = needles.withColumn("__inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).withColumn("__n", F.least(F.size("__inner"), F.lit(_RUN)))
-    size = F.least(F.length("needle"), F.lit(_GRAM))
-    kind = F.when(F.col("__n") > 0, F.concat(F.lit("w"), F.col("__n").cast("string"))).otherwise(F.concat(F.lit("c"), size.cast("string")))
-    text = F.when(F.col("__n") > 0, F.array_join(F.slice("__inner", F.lit(1), F.col("__n")), " ")).otherwise(F.left("needle", size))
-    return rows.where("needle <> ''").withColumn("__kind", kind).withColumn("__key", F.xxhash64("__kind", text)).drop("__inner", "__n")
-
-
-def _keys(words: Column, hay: Column, kind: str) -> Column:
-    """A text's keys of one kind."""
-    n = int(kind[1:])
-    if kind[0] == "w":
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        of = lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(n)])
-    else:
-        starts = F.when(F.length(hay) >= n, F.sequence(F.lit(1), F.length(hay) - (n - 1)))
-        of = lambda i: F.substring(hay, i, F.lit(n))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(kind), of(i))))
-
-
-def pairs(hays: DataFrame, needles: DataFrame, group: str | None = None) -> DataFrame:
-    """(needle_id, hay_id): each needle with every text that may hold it or its head.
-
-    Texts give their keys, without the text itself, and meet needles by key. Needles of up to
-    ``BROADCAST`` rows, counted first, are broadcast, so that keys of texts don't travel either.
-    """
-    on = [group] if group else []
-    kinds = _keyed(needles.select("needle_id", "needle", *on))
-    counted = {r[0]: r[1] for r in kinds.groupBy("__kind").count().collect()}  # at most 12 rows
-    wanted = kinds.select("needle_id", "__key", *on)
-    words = hays.select("hay_id", *on, "hay", F.split("hay", " ").alias("ws"))
-    keys = [F.coalesce(_keys(F.col("ws"), F.col("hay"), k), F.array().cast("array<bigint>")) for k in sorted(counted)] or [F.array().cast("array<bigint>")]
-    own = words.select("hay_id", *on, F.explode(F.concat(*keys)).alias("__key"))
-    wanted = F.broadcast(wanted) if sum(counted.values()) <= BROADCAST else wanted
-    return own.join(wanted, ["__key", *on]).select("needle_id", "hay_id").distinct()
-
-
-def located_natively(hays: DataFrame, needles: DataFrame, group: str | None = None) -> DataFrame:
-    """(needle_id, hay_id, stage, start, length, score) of the exact and the anchor stage."""
-    met = pairs(hays, needles, group).join(needles.select("needle_id", "needle"), "needle_id").join(hays.select("hay_id", "hay"), "hay_id")
-    met = met.withColumn("exact", exact_start(F.col("hay"), F.col("needle"))).withColumn("ends", anchor_span(F.col("hay"), F.col("needle")))
-    hit = F.when(F.col("exact").isNotNull(), F.struct(F.lit("exact").alias("stage"), F.col("exact").alias("start"), F.length("needle").alias("length"), F.lit(1.0).alias("score"))).when(
-        F.col("ends").isNotNull(), F.struct(F.lit("anchor").alias("stage"), F.col("ends.start").alias("start"), F.col("ends.length").alias("length"), F.lit(ANCHOR_SCORE).alias("score"))
-    )
-    return met.select("needle_id", "hay_id", hit.alias("hit")).where("hit is not null").select("needle_id", "hay_id", "hit.*")
-
-
 def clustered(starts: list[int], reach: int = SEED) -> list[tuple[int, int]]:
     """(start, votes): sorted starts, each joined to the cluster whose first start is less than ``reach`` before."""
     out: list[tuple[int, int]] = []
@@ -142,54 +88,92 @@ def seeds(needles: DataFrame, *others: str) -> DataFrame:
     return cut.select("needle_id", *others, "offset", F.substring("needle", F.col("offset") + 1, F.lit(SEED)).alias("piece"))
 
 
-_held: dict[int, tuple] = {}
+class _Index:
+    """Needles with what finds them: automata over their heads and over their seeds, each made when first used."""
 
+    def __init__(self, ids: pa.Array, needles: list[str]):
+        self.ids, self.needles = ids, needles
 
-def _automaton(key: int, content: bytes, group: str | None) -> tuple:
-    """(automaton, needle ids) of a broadcast block of seeds, made once in each worker."""
-    if key not in _held:
+    @staticmethod
+    def _made(words: dict[str, list]):
         import ahocorasick
 
-        _held.clear()
-        table = pa.ipc.open_stream(content).read_all()
-        uses: dict[str, list[tuple]] = {}
-        for k, piece, offset, own in zip(range(len(table)), table["piece"].to_pylist(), table["offset"].to_pylist(), table[group].to_pylist() if group else [None] * len(table), strict=True):
-            uses.setdefault(piece, []).append((k, offset, own))
         automaton = ahocorasick.Automaton()
-        for piece, of in uses.items():
-            automaton.add_word(piece, of)
-        if uses:
+        for word, of in words.items():
+            automaton.add_word(word, of)
+        if words:
             automaton.make_automaton()
-        _held[key] = (automaton, table["needle_id"].combine_chunks(), table["needle_id"].to_pylist())
-    return _held[key]
-
-
-def _scan(held, most: int, group: str | None):
-    """Texts to (needle_id, hay_id, start, votes), by one automaton over a block of seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, ids, names = _automaton(held.id, held.value, group)
-        for batch in batches:
-            needle, row, start, votes = [], [], [], []
-            groups = batch.column(group).to_pylist() if group else [None] * batch.num_rows
-            for i, (hay, own) in enumerate(zip(batch.column("hay").to_pylist(), groups, strict=True)):
-                seen: Counter[int] = Counter()
-                found: dict = {}
-                for end, uses in automaton.iter(hay) if hay and len(automaton) else ():
-                    seen[id(uses)] += 1
-                    if seen[id(uses)] <= most:
-                        for k, offset, theirs in uses:
-                            if theirs == own:
-                                found.setdefault(names[k], (k, []))[1].append(max(0, end - SEED + 1 - offset))
-                for k, starts in found.values():
-                    for s, v in clustered(starts):
-                        needle.append(k)
-                        row.append(i)
-                        start.append(s)
-                        votes.append(v)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(needle, pa.int64())), batch.column("hay_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(votes, pa.int32())], names=["needle_id", "hay_id", "start", "votes"])
+        return automaton
 
-    return run
+    @functools.cached_property
+    def heads(self):
+        """What every text has that holds the needle or its head: the head, or all of a shorter needle."""
+        words: dict[str, list[int]] = {}
+        for k, needle in enumerate(self.needles):
+            if needle:
+                words.setdefault(needle[:ANCHOR], []).append(k)
+        return self._made(words)
+
+    @functools.cached_property
+    def seeds(self):
+        words: dict[str, list[tuple[int, int]]] = {}
+        for k, needle in enumerate(self.needles):
+            for offset in range(0, len(needle) - SEED + 1 if needle else 0, SEED):
+                words.setdefault(needle[offset : offset + SEED], []).append((k, offset))
+        return self._made(words)
+
+
+_held: dict[int, _Index] = {}
+
+
+def _index(block: _Block) -> _Index:
+    """What a broadcast block of needles gives, made once in each worker."""
+    if block.id not in _held:
+        _held.clear()
+        table = pa.ipc.open_stream(block.value).read_all()
+        _held[block.id] = _Index(table["needle_id"].combine_chunks(), table["needle"].to_pylist())
+    return _held[block.id]
+
+
+def _taken(ids: pa.Array | pa.ChunkedArray, rows) -> pa.Array:
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    return ids.take(pa.array(rows, pa.int64()))
+
+
+def _scanned(hays: DataFrame, needles: DataFrame, group: str | None, rows_of: Callable, columns: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """(needle_id, hay_id, columns) that ``rows_of`` (index, texts) finds of needles in texts.
+
+    Needles, counted first, are broadcast in blocks of at most about ``SEEDS`` seeds and ``BROADCAST`` needles. A block is
+    one pass over the texts, which never leave their task. With ``group`` a group's needles and
+    texts meet in one task, so that each text is read once, however many groups there are.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*hays.schema.fields, *needles.schema.fields]}
+    schema = f"needle_id {kinds['needle_id']}, hay_id {kinds['hay_id']}, {columns}"
+    if group:
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([rows_of(_Index(right["needle_id"].combine_chunks(), right["needle"].to_pylist()), left)])
+
+        texts = hays.where(F.col(group).isNotNull()).select("hay_id", group, "hay", *others)
+        wanted = needles.where(F.col(group).isNotNull() & (F.col("needle") != "")).select("needle_id", group, "needle")
+        return texts.groupBy(group).cogroup(wanted.groupBy(group)).applyInArrow(meet, schema)
+    wanted = needles.where("needle <> ''").select("needle_id", "needle")
+    size, count = wanted.agg(F.coalesce(F.sum(F.ceil(F.length("needle") / SEED)), F.lit(0)), F.count("*")).first()
+    blocks, found = max(1, -(-size // SEEDS), -(-count // BROADCAST)), None
+    for k in range(blocks):
+        table = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k)).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        block = _Block(hays.sparkSession, sink.getvalue().to_pybytes())
+
+        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield rows_of(_index(block), batch)
+
+        part = hays.select("hay_id", "hay", *others).mapInArrow(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 class _Block:
@@ -207,36 +191,97 @@ class _Block:
         return self.held.value
 
 
-def candidates(hays: DataFrame, needles: DataFrame, most: int = SEED_HITS, group: str | None = None) -> DataFrame:
-    """(needle_id, hay_id, start, votes) where a fuzzy match may begin; the first ``most`` hits of a seed in a text count.
+def _native(index: _Index, texts: list[str | None]) -> Iterator[tuple]:
+    """(needle, text, is exact, start, length) of what the first two stages find; needles and texts by number."""
+    for i, hay in enumerate(texts):
+        met: set[int] = set()
+        for _, of in index.heads.iter(hay) if hay and len(index.heads) else ():
+            met.update(of)
+        for k in met:
+            needle = index.needles[k]
+            n, at = len(needle), hay.find(needle)
+            if at >= 0:
+                yield k, i, True, at, n
+            elif n > 2 * ANCHOR:
+                head = hay.find(needle[:ANCHOR])
+                tail = hay.find(needle[-ANCHOR:], head)
+                length = tail + ANCHOR - head
+                if tail >= 0 and length <= n * ANCHOR_STRETCH + ANCHOR_SLACK:
+                    yield k, i, False, head, length
+
+
+def _native_rows(index: _Index, rows: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+    found = list(_native(index, rows.column("hay").to_pylist()))
+    k, i, exact, start, length = zip(*found, strict=True) if found else ((), (), (), (), ())
+    stage, score = pa.array(["exact" if e else "anchor" for e in exact], pa.string()), pa.array([1.0 if e else ANCHOR_SCORE for e in exact], pa.float64())
+    return pa.RecordBatch.from_arrays([_taken(index.ids, k), _taken(rows.column("hay_id"), i), stage, pa.array(start, pa.int32()), pa.array(length, pa.int32()), score], names=["needle_id", "hay_id", "stage", "start", "length", "score"])
+
+
+def located_natively(hays: DataFrame, needles: DataFrame, group: str | None = None) -> DataFrame:
+    """(needle_id, hay_id, stage, start, length, score) of the exact and the anchor stage."""
+    return _scanned(hays, needles, group, _native_rows, "stage string, start int, length int, score double")
+
+
+def _covers(window: str, needle: str, least: int, floor: float) -> bool:
+    """Whether matching blocks of ``least`` characters and more can make up the share ``floor`` of the needle.
 
-    Seeds, counted first, are broadcast in blocks of at most about ``SEEDS``, all of a needle
-    together. A block is one pass over the texts, which never leave their task.
+    Every character of such a block lies in a run of ``least`` characters that the window has too.
     """
-    on = [group] if group else []
-    cut = seeds(needles.select("needle_id", "needle", *on), *on)
-    blocks = max(1, -(-cut.count() // SEEDS))
-    kinds = {f.name: f.dataType.simpleString() for f in [*hays.schema.fields, *needles.schema.fields]}
-    texts, found = hays.select("hay_id", *on, "hay"), None
-    for k in range(blocks):
-        table = (cut if blocks == 1 else cut.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k)).toArrow()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        block = _Block(hays.sparkSession, sink.getvalue().to_pybytes())
-        part = texts.mapInArrow(_scan(block, most, group), f"needle_id {kinds['needle_id']}, hay_id {kinds['hay_id']}, start int, votes int")
-        found = part if found is None else found.unionByName(part)
-    return found
+    runs = {window[i : i + least] for i in range(len(window) - least + 1)}
+    covered = upto = 0
+    for i in range(len(needle) - least + 1):
+        if needle[i : i + least] in runs:
+            covered += i + least - max(i, upto)
+            upto = i + least
+    return covered > 0 and covered >= floor * len(needle) - 1e-6
+
+
+def _fuzzy_rows(most: int, top: int, floor: float, open_only: bool):
+    """Texts to (needle_id, hay_id, start, votes, low, window): each pair's ``top`` candidates, by one automaton.
+
+    The window is null where ``_covers`` says that nothing in it can match; its candidate has a
+    rank all the same. With ``open_only`` pairs that the first two stages find are left out.
+    """
+
+    def run(index: _Index, rows: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for i, hay in enumerate(rows.column("hay").to_pylist()):
+            seen: Counter[int] = Counter()
+            found: dict[int, list[int]] = {}
+            for end, uses in index.seeds.iter(hay) if hay and len(index.seeds) else ():
+                seen[id(uses)] += 1
+                if seen[id(uses)] <= most:
+                    for k, offset in uses:
+                        found.setdefault(k, []).append(max(0, end - SEED + 1 - offset))
+            for k in {k for k, *_ in _native(index, [hay])} if open_only and found else ():
+                found.pop(k, None)
+            for k, starts in found.items():
+                needle = index.needles[k]
+                least = max(6, min(12, len(needle) // 6))
+                for start, votes in sorted(clustered(starts), key=lambda c: (-c[1], c[0]))[:top]:
+                    low = max(0, start - MARGIN)
+                    window = hay[low : min(len(hay), start + len(needle) + MARGIN)]
+                    out.append((k, i, start, votes, low, window if _covers(window, needle, least, floor) else None))
+        k, i, start, votes, low, window = zip(*out, strict=True) if out else ((), (), (), (), (), ())
+        arrays = [_taken(index.ids, k), _taken(rows.column("hay_id"), i), *(pa.array(x, pa.int32()) for x in (start, votes, low)), pa.array(window, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["needle_id", "hay_id", "start", "votes", "low", "window"])
+
+    return run
+
+
+def candidates(hays: DataFrame, needles: DataFrame, most: int = SEED_HITS, group: str | None = None, top: int = TOP, floor: float = FLOOR, open_only: bool = False) -> DataFrame:
+    """(needle_id, hay_id, start, votes, low, window) where a fuzzy match may begin; the first ``most`` hits of a seed in a text count."""
+    return _scanned(hays, needles.where(F.length("needle") >= SEED), group, _fuzzy_rows(most, top, floor, open_only), "start int, votes int, low int, window string")
 
 
 def _best_blocks(window: str, needle: str, least: int, floor: float) -> tuple[int, int, float] | None:
-    blocks = [b for b in SequenceMatcher(a=window, b=needle, autojunk=False).get_matching_blocks() if b.size >= least]
+    blocks = [b for b in matching_blocks(window, needle) if b[2] >= least]
     if not blocks or not needle:
         return None
-    score = sum(b.size for b in blocks) / len(needle)
+    score = sum(size for _, _, size in blocks) / len(needle)
     first, last = blocks[0], blocks[-1]
-    length = last.a + last.size - first.a
-    return (first.a, length, score) if score >= floor and length <= STRETCH * len(needle) + SLACK else None
+    length = last[0] + last[2] - first[0]
+    return (first[0], length, score) if score >= floor and length <= STRETCH * len(needle) + SLACK else None
 
 
 def window_match(floor: float):
@@ -255,9 +300,10 @@ def located_fuzzily(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, t
 
     ``within`` is what candidates compete in: one text, or a book of several texts in the order
     of ``order``, whose candidates are ranked together. Pairs (needle_id, ``within``) of
-    ``settled`` are left out before anything is compared.
+    ``settled``, which the stages before found in the same texts, are left out before anything is compared.
     """
-    found = candidates(hays, needles, group=group)
+    # among a group's own needles many are settled, whose windows need not leave the scan
+    found = candidates(hays, needles, group=group, top=top, floor=floor, open_only=settled is not None and group is not None)
     place = hays.select("hay_id", *[c for c in {within, order} if c and c != "hay_id"])
     if len(place.columns) > 1:
         found = found.join(place, "hay_id")
@@ -265,11 +311,8 @@ def located_fuzzily(hays: DataFrame, needles: DataFrame, floor: float = FLOOR, t
         found = found.join(settled.select("needle_id", within).distinct(), ["needle_id", within], "left_anti")
     sequence = [F.col(order)] if order else []
     ranked = Window.partitionBy("needle_id", within).orderBy(F.desc("votes"), *sequence, "start")
-    best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
-    near = best.join(needles.select("needle_id", "needle"), "needle_id").join(hays.select("hay_id", "hay"), "hay_id")
-    low = F.greatest(F.lit(0), F.col("start") - MARGIN)
-    high = F.least(F.length("hay"), F.col("start") + F.length("needle") + MARGIN)
-    near = near.withColumn("low", low).withColumn("window", F.substring("hay", F.col("low") + 1, high - F.col("low")))
+    best = found.withColumn("rank", F.row_number().over(ranked)).where((F.col("rank") <= top) & F.col("window").isNotNull())
+    near = best.join(needles.select("needle_id", "needle"), "needle_id")
     near = fanned(near.select("needle_id", *dict.fromkeys([within, "hay_id"]), "rank", "low", "window", "needle"), "needle_id", "hay_id", "rank")
     scored = near.select("needle_id", *dict.fromkeys([within, "hay_id"]), "rank", "low", window_match(floor)("window", "needle", least_block(F.col("needle"))).alias("m")).where("m.score is not null")
     pick = F.max_by(F.struct("hay_id", (F.col("low") + F.col("m.start")).alias("start"), F.col("m.length").alias("length"), F.col("m.score").alias("score")), F.struct(F.col("m.score"), -F.col("rank")))

@@ -27,7 +27,8 @@ def log_to_addresses(clips: DataFrame, library: DataFrame, documents: DataFrame,
     """
     keyed = clips.select(F.col("seq").alias("key"), "title", "author")
     lib = library.select("seq", F.col("key").alias("lib_key"), F.col("title").alias("lib_title"), F.col("author").alias("lib_author"))
-    matched = match.best_match(keyed, lib)
+    documents = written(documents, "documents")
+    matched = written(match.best_match(keyed, lib), "matched")
     rows = clips.join(matched.select(F.col("key").alias("seq"), F.col("lib_key").alias("asset_id")), "seq", "left")
     rows = rows.withColumn("norm", normalized(F.col("text")))
     texts = known.select("asset_id", "norm").where("norm is not null").distinct().withColumn("known_text", F.lit(True))

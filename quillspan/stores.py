@@ -111,7 +111,7 @@ _TALKS = "WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x, row_number()
 def _palm_books(t, folder: str) -> str:
     made = F.udf(lambda ts, k: samples.palm("".join(f"<p>{samples.html.escape(x['text'], False)}</p>" for x in ts).encode(), compression=1 + k % 2, trailing=k % 3 == 0), "binary")
     _files(_talks(t).select(F.concat("conv_id", F.lit(".azw")).alias("name"), made("ts", "conv_id").alias("content")), folder)
-    return f"{folder}/*.azw"
+    return folder
 
 
 @query(_TALKS + " SELECT conv_id, string_agg(' ' || replace(replace(x, chr(160), ' '), chr(173), '') || ' ', '' ORDER BY i) AS text, NULL::VARCHAR AS reason FROM c GROUP BY conv_id")
@@ -123,7 +123,7 @@ def read_palm(spark, t, folder):
 def _epubs(t, folder: str) -> str:
     made = F.udf(lambda ts: samples.epub((f"t{k}", samples.page([x["text"]])) for k, x in enumerate(ts)), "binary")
     _files(_talks(t).select(F.concat("conv_id", F.lit(".epub")).alias("name"), made("ts").alias("content")), folder)
-    return f"{folder}/*.epub"
+    return folder
 
 
 @query(_TALKS + " SELECT conv_id, CAST(i AS INTEGER) AS spine, 't' || i AS idref, '/6/' || (2 * i + 2) || '[t' || i || ']' AS step, replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, NULL::VARCHAR AS reason FROM c")
@@ -135,7 +135,7 @@ def read_epub(spark, t, folder):
 def _chunk_books(t, folder: str) -> str:
     made = F.udf(lambda ts: samples.chunks((20_000 * k, x["text"]) for k, x in enumerate(ts)).encode(), "binary")
     _files(_talks(t).select(F.concat("conv_id", F.lit(".json")).alias("name"), made("ts").alias("content")), folder)
-    return f"{folder}/*.json"
+    return folder
 
 
 def _chunked(spark, t, folder: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillspan.functions import markup
 from quillspan.functions import payload as P
 from quillspan.functions import text as X
 from quillspan.functions.markup import plain_text
@@ -119,3 +121,12 @@ def test_payload(spark):
     assert [r[0] for r in styles] == ["yellow", "orange", "blue", "yellow", "pink", "blue", "yellow", "yellow"]
     assert one(spark, P.clean_id, "A:B00-0") == "B00"
     assert one(spark, P.content_type, "B012345678") == "EBOK"
+
+
+def test_markup_is_handed_back_in_slices(spark, monkeypatch):
+    """Rows come back in slices of few bytes, with what ``plain_text`` says of each, nulls and empty ones too."""
+    sizes = [n for _, n in markup._slices(pa.array([b"x" * 600_000, None, b"", b"y" * 700_000, b"z" * 3_000_000, b"a"], pa.binary()))]
+    assert sizes == [3, 1, 1, 1]
+    rows = [(k, None if k % 7 == 0 else f"<p>{'é&amp;' * k}</p>x".encode()) for k in range(40)]
+    got = markup.with_markup_stripped(spark.createDataFrame(rows, "k long, raw binary")).collect()
+    assert {r["k"]: (r["text"], r["first"], r["last"]) for r in got} == {k: markup.plain_text(raw) for k, raw in rows}

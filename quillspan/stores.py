@@ -36,10 +36,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _rows(df: DataFrame):
-    return (tuple(r) for r in df.toLocalIterator())
-
-
 def _files(contents: DataFrame, folder: str) -> None:
     """Write (name, content) as files, each by the worker that has it."""
 
@@ -63,7 +59,7 @@ def scan_catalogue(spark, t, folder):
     mime = F.when(key % 4 == 0, "application/x-mobipocket-ebook").when(key % 4 == 1, "application/x-kfx-ebook").when(key % 4 == 2, "application/pdf")
     book = F.when(key % 3 == 0, F.concat(F.lit("A:"), key.cast("string"), F.lit("-0"))).otherwise(key.cast("string"))
     rows = t("part").select(book, F.when(key % 10 != 0, F.col("p_name")), F.when(key % 11 != 0, F.col("p_brand")), mime, F.when(key % 5 != 0, F.col("p_type")), F.col("p_size").cast("long"))
-    path = samples.store(f"{folder}/books.sqlite", {"ZBOOK": ("ZBOOKID TEXT, ZDISPLAYTITLE TEXT, ZPATH TEXT, ZMIMETYPE TEXT, ZPERASINGUID TEXT, ZRAWMAXPOSITION INTEGER", _rows(rows))})
+    path = samples.stored(f"{folder}/books.sqlite", {"ZBOOK": ("ZBOOKID TEXT, ZDISPLAYTITLE TEXT, ZPATH TEXT, ZMIMETYPE TEXT, ZPERASINGUID TEXT, ZRAWMAXPOSITION INTEGER", rows)})
     return sqlite.catalogue(spark, path).drop("author")
 
 
@@ -79,7 +75,7 @@ def scan_annotations(spark, t, folder):
     rows = t("events").select(F.concat(F.lit("e"), key.cast("string")).alias("id"), (1 + key % 12).cast("long"), F.concat(F.col("user_id").cast("string"), F.lit("-PDOC-")), payload, (key % 3).alias("k"))
     shape = "annotation_id TEXT, dataset INTEGER, {} TEXT, serialized_payload TEXT"
     names = {"server_view": "dataset_id", "local_edit": "dataset_id", "nonsyncable_annotations": "book_id"}
-    path = samples.store(f"{folder}/reader.sqlite", {n: (shape.format(c), _rows(rows.where(F.col("k") == k).drop("k"))) for k, (n, c) in enumerate(names.items())})
+    path = samples.stored(f"{folder}/reader.sqlite", {n: (shape.format(c), rows.where(F.col("k") == k).drop("k")) for k, (n, c) in enumerate(names.items())})
     return sqlite.annotations(spark, path).select("annotation_id", "source", "dataset", "dataset_id", "start", "end")
 
 
@@ -95,7 +91,7 @@ def scan_highlights(spark, t, folder):
         (c % 2), F.lit(700000000.5), F.when(turn % 5 == 0, "chapter"), F.concat(F.lit("epubcfi("), turn.cast("string"), F.lit(")")), (c % 4 == 3).cast("int"), F.when(turn == 6, 1).otherwise(2),
     )
     columns = "ZANNOTATIONUUID TEXT, ZANNOTATIONASSETID TEXT, ZANNOTATIONSELECTEDTEXT TEXT, ZANNOTATIONNOTE TEXT, ZANNOTATIONSTYLE INTEGER, ZANNOTATIONISUNDERLINE INTEGER, ZANNOTATIONCREATIONDATE TIMESTAMP, ZFUTUREPROOFING5 TEXT, ZANNOTATIONLOCATION TEXT, ZANNOTATIONDELETED INTEGER, ZANNOTATIONTYPE INTEGER"
-    path = samples.store(f"{folder}/annotations.sqlite", {"ZAEANNOTATION": (columns, _rows(rows))})
+    path = samples.stored(f"{folder}/annotations.sqlite", {"ZAEANNOTATION": (columns, rows)})
     return sqlite.highlights(spark, path).drop("created", "chapter")
 
 

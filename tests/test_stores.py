@@ -2,15 +2,18 @@
 
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan.catalogue import QUERIES
 from quillspan.functions.markup import plain_text
 from quillspan.functions.text import normal_map, normalized
 from quillspan.operators import dedupe
 from quillspan.plans import apply, flows, outcomes
 from quillspan.sources import annotated, books, samples, sqlite, textlog
 from quillspan.streaming import incremental
+from quillspan.stores import ORACLES
 
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud".split()
 PROSE = " ".join(f"{WORDS[i * 7 % 24]}{i}" for i in range(400))
@@ -287,3 +290,17 @@ def test_changed_actions(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "id string, action int")
     diff = dedupe.snapshot_diff(rows.limit(0), rows)
     assert [r["id"] for r in dedupe.changed_actions(diff, rows.where("id = 'a'")).collect()] == ["b"]
+
+
+def test_sample_stores_bypass_the_driver(spark, monkeypatch, tmp_path):
+    """No row of a sample store is collected; an empty table is made all the same, and written again it's as before."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    tables = {"a": ("k INTEGER, t TEXT", spark.range(500).selectExpr("id", "if(id % 2 = 0, 'x' || id, null)")), "b": ("k INTEGER", spark.range(0))}
+    for _ in range(2):
+        path = samples.stored(str(tmp_path / "s.db"), tables)
+    assert sorted(tuple(r) for r in sqlite.table(spark, path, "a").collect()) == [(k, None if k % 2 else f"x{k}") for k in range(500)]
+    assert sqlite.table(spark, path, "b").count() == 0
+    docs = spark.createDataFrame([(1, 0, "one"), (1, 1, None), (5, 6, "x")], "conv_id long, turn long, text string")
+    docs.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["uuid"] for r in QUERIES["scan_highlights"](spark, str(tmp_path)).collect()] == ["1.0"]
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.catalogue import ORACLES, QUERIES, _norm
@@ -101,6 +101,15 @@ def _talks(t) -> DataFrame:
     return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("ts"))
 
 
+def _all_talks(t) -> DataFrame:
+    """The same of all rows: those without a conversation are one of their own, turns without a number come first."""
+    return t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("ts"))
+
+
+def _conversation() -> Column:
+    return F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+
+
 _TALKS = "WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
 
 
@@ -116,15 +125,15 @@ def read_palm(spark, t, folder):
     return read.select(F.regexp_extract("path", r"([^/]+)[.]azw$", 1).cast("bigint").alias("conv_id"), "text", "reason")
 
 
-def _epubs(t, folder: str) -> str:
+def _epubs(talks: DataFrame, folder: str) -> str:
     made = F.udf(lambda ts: samples.epub((f"t{k}", samples.page([x["text"]])) for k, x in enumerate(ts)), "binary")
-    _files(_talks(t).select(F.concat("conv_id", F.lit(".epub")).alias("name"), made("ts").alias("content")), folder)
+    _files(talks.select(F.concat(_conversation(), F.lit(".epub")).alias("name"), made("ts").alias("content")), folder)
     return folder
 
 
 @query(_TALKS + " SELECT conv_id, CAST(i AS INTEGER) AS spine, 't' || i AS idref, '/6/' || (2 * i + 2) || '[t' || i || ']' AS step, replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, NULL::VARCHAR AS reason FROM c")
 def read_epub(spark, t, folder):
-    read = books.read_epub(spark, _epubs(t, folder))
+    read = books.read_epub(spark, _epubs(_talks(t), folder))
     return read.select(F.regexp_extract("path", r"([^/]+)[.]epub$", 1).cast("bigint").alias("conv_id"), "spine", "idref", "step", "text", "reason")
 
 
@@ -176,7 +185,7 @@ FROM m LEFT JOIN h USING (conv_id, i) LEFT JOIN d w ON w.conv_id = m.conv_id AND
 )
 def flow_to_addresses(spark, t, folder):
     """Every turn as a clip of its conversation's book; one in four says what no book does."""
-    read = books.read_epub(spark, _epubs(t, folder)).withColumn("book_id", F.regexp_extract("path", r"([^/]+)[.]epub$", 1))
+    read = books.read_epub(spark, _epubs(_talks(t), folder)).withColumn("book_id", F.regexp_extract("path", r"([^/]+)[.]epub$", 1))
     turns = _talks(t).select("conv_id", F.posexplode("ts").alias("i", "x"))
     name = F.md5(F.col("conv_id").cast("string").cast("binary"))
     said = F.when(F.col("i") % 4 == 3, "no such words anywhere").otherwise(F.col("x.text"))
@@ -192,22 +201,23 @@ def flow_to_addresses(spark, t, folder):
 
 
 @query(
-    _TALKS
-    + f""", d AS (SELECT conv_id, i, x, {_norm('x')} AS n FROM c WHERE conv_id % 5 <> 0),
-h AS (SELECT m.conv_id, m.i, min(d.i) AS hit, any_value(length(m.n) = length(m.x)) AS plain FROM d m JOIN d ON m.conv_id = d.conv_id AND contains(d.n, m.n) WHERE m.n <> '' GROUP BY 1, 2)
-SELECT CAST(conv_id AS VARCHAR) AS book_id, count(*) AS total, count(*) FILTER (hit = i AND plain) AS exact, count(*) FILTER (hit = i AND NOT plain) AS close, count(*) FILTER (hit <> i) AS miss, count(*) FILTER (hit = i AND plain) / count(*) AS rate, count(*) FILTER (hit = i AND plain) / count(*) >= 0.95 AS passes FROM h GROUP BY ROLLUP (1)"""
+    f"""WITH c AS (SELECT coalesce(CAST(conv_id AS VARCHAR), 'null') AS book_id, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(text, '')) - 1 AS i FROM conversations),
+d AS (SELECT book_id, i, x, {_norm('x')} AS n FROM c),
+h AS (SELECT m.book_id, m.i, min(d.i) AS hit, any_value(length(m.n) = length(m.x)) AS plain FROM d m JOIN d ON m.book_id = d.book_id AND contains(d.n, m.n) WHERE m.n <> '' GROUP BY 1, 2)
+SELECT book_id, count(*) AS total, count(*) FILTER (hit = i AND plain) AS exact, count(*) FILTER (hit = i AND NOT plain) AS close, count(*) FILTER (hit <> i) AS miss, count(*) FILTER (hit = i AND plain) / count(*) AS rate, count(*) FILTER (hit = i AND plain) / count(*) >= 0.95 AS passes FROM h GROUP BY ROLLUP (1)"""
 )
 def validate_addresses(spark, t, folder):
     """Ground truth: the address of every turn as a whole, searched for by its text in its conversation's book."""
-    read = books.read_epub(spark, _epubs(t, folder)).withColumn("book_id", F.regexp_extract("path", r"([^/]+)[.]epub$", 1))
-    turns = _talks(t).where("conv_id % 5 <> 0").select("conv_id", F.posexplode("ts").alias("i", "x"))
+    read = books.read_epub(spark, _epubs(_all_talks(t), folder)).withColumn("book_id", F.regexp_extract("path", r"([^/]+)[.]epub$", 1))
+    turns = _all_talks(t).select("conv_id", _conversation().alias("book_id"), F.posexplode("ts").alias("i", "x"))
     step = F.concat(F.lit("epubcfi(/6/"), (2 * F.col("i") + 2).cast("string"), F.lit("[t"), F.col("i").cast("string"), F.lit("]!/4/2/1,:0,:"), F.length("x.text").cast("string"), F.lit(")"))
-    name = F.md5(F.col("conv_id").cast("string").cast("binary"))
-    truth = turns.select((1000 * F.col("conv_id") + F.col("i")).alias("seq"), name.alias("title"), F.lit(None).cast("string").alias("author"), F.lit("Highlight").alias("kind"), F.col("x.text").alias("text"), step.alias("want"), F.col("conv_id").cast("string").alias("book_id"))
+    # a number that no conversation has stands for the one without
+    number = F.coalesce(F.col("conv_id").cast("decimal(20,0)"), F.lit("-10000000000000000000").cast("decimal(20,0)"))
+    truth = turns.select(F.concat_ws("#", "book_id", F.col("i").cast("string")).alias("seq"), F.md5(F.col("book_id").cast("binary")).alias("title"), F.lit(None).cast("string").alias("author"), F.lit("Highlight").alias("kind"), F.col("x.text").alias("text"), step.alias("want"), "book_id", number.alias("number"))
     truth = truth.where(normalized(F.col("text")) != "")
-    shelf = truth.select(F.col("book_id").cast("long").alias("seq"), F.col("book_id").alias("key"), "title", "author").distinct()
+    shelf = truth.select(F.col("number").alias("seq"), F.col("book_id").alias("key"), "title", "author").distinct()
     none = spark.createDataFrame([], "asset_id string, address string, norm string")
-    got = flows.log_to_addresses(truth.drop("want", "book_id"), shelf, read, none).select("seq", "address")
+    got = flows.log_to_addresses(truth.drop("want", "book_id", "number"), shelf, read, none).select("seq", "address")
     rows = truth.join(got, "seq", "left").withColumn("class", outcomes.address_class(F.col("want"), F.col("address")))
     return outcomes.validation(rows)
 

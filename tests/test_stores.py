@@ -304,3 +304,14 @@ def test_sample_stores_bypass_the_driver(spark, monkeypatch, tmp_path):
     docs.write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r["uuid"] for r in QUERIES["scan_highlights"](spark, str(tmp_path)).collect()] == ["1.0"]
 
+
+def test_validation_has_every_conversation(spark, tmp_path):
+    """Also one turn in five that the title's flow knows no book of, and those without conversation or turn."""
+    rows = [(5, 0, "a first turn of five"), (5, 1, "its second turn"), (6, None, "a turn without its number"), (6, 0, "a numbered one"), (None, 0, "a turn of no conversation"), (None, 1, None), (7, 0, "again again"), (7, 1, "again")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(ORACLES["validate_addresses"]).fetchall()
+    got = [tuple(r) for r in QUERIES["validate_addresses"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[0]: r[1] for r in got} == {"5": 2, "6": 2, "7": 2, "null": 1, None: 7}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspan.catalogue import ORACLES, QUERIES, _norm
 from quillspan.functions import payload as P
 from quillspan.functions.text import key_of, normalized
+from quillspan.operators.locate import fanned
 from quillspan.plans import flows, outcomes
 from quillspan.sources import annotated, books, samples, sqlite
 from quillspan.storage import shared_dir
@@ -115,7 +116,7 @@ _TALKS = "WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x, row_number()
 
 def _palm_books(t, folder: str) -> str:
     made = F.udf(lambda ts, k: samples.palm("".join(f"<p>{samples.html.escape(x['text'], False)}</p>" for x in ts).encode(), compression=1 + k % 2, trailing=k % 3 == 0), "binary")
-    _files(_talks(t).select(F.concat("conv_id", F.lit(".azw")).alias("name"), made("ts", "conv_id").alias("content")), folder)
+    _files(fanned(_talks(t), "conv_id").select(F.concat("conv_id", F.lit(".azw")).alias("name"), made("ts", "conv_id").alias("content")), folder)
     return folder
 
 
@@ -127,7 +128,7 @@ def read_palm(spark, t, folder):
 
 def _epubs(talks: DataFrame, folder: str) -> str:
     made = F.udf(lambda ts: samples.epub((f"t{k}", samples.page([x["text"]])) for k, x in enumerate(ts)), "binary")
-    _files(talks.select(F.concat(_conversation(), F.lit(".epub")).alias("name"), made("ts").alias("content")), folder)
+    _files(fanned(talks, "conv_id").select(F.concat(_conversation(), F.lit(".epub")).alias("name"), made("ts").alias("content")), folder)
     return folder
 
 
@@ -139,7 +140,7 @@ def read_epub(spark, t, folder):
 
 def _chunk_books(t, folder: str) -> str:
     made = F.udf(lambda ts: samples.chunks((20_000 * k, x["text"]) for k, x in enumerate(ts)).encode(), "binary")
-    _files(_talks(t).select(F.concat("conv_id", F.lit(".json")).alias("name"), made("ts").alias("content")), folder)
+    _files(fanned(_talks(t), "conv_id").select(F.concat("conv_id", F.lit(".json")).alias("name"), made("ts").alias("content")), folder)
     return folder
 
 

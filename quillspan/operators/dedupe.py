@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillspan.functions.bounds import similar_pairs
-from quillspan.functions.text import related, stripped
+from quillspan.functions.containing import EDGE, Met, Needles
+from quillspan.functions.text import stripped
 
 # Fixed value: what a clip says whose text the device kept back.
 LIMIT_NOTICE = "<You have reached the clipping limit"
@@ -18,20 +24,91 @@ def eligible(clips: DataFrame) -> DataFrame:
     return clips.where(F.col("kind").isin("Highlight", "Underline") & (F.col("text") != "") & ~F.startswith("text", F.lit(LIMIT_NOTICE)))
 
 
-def without_superseded(clips: DataFrame, cell: int = 64) -> DataFrame:
+#: Texts under one title are dealt so that their parts, and how often its needles are sent, grow with the root of their size: to one part up to so many bytes, to two up to four times as many.
+PART = 1 << 19
+_BUCKETS = 1 << 12
+#: How a row of a group of texts takes part: with all rows, or needles with texts that they may stand in.
+_ALL, _NEEDLE, _TEXT = 0, 1, 2
+
+
+def without_superseded(clips: DataFrame) -> DataFrame:
     """Clips (title, seq, loc_start, loc_end, text) that no later clip of the title replaces.
 
-    A later one replaces an earlier one if their closed ranges overlap and their texts are
-    related. Ranges meet by title and by cells of ``cell`` positions, so a title with very many
-    clips is compared cell by cell, not all with all. Clips without a location stay.
+    A later one replaces an earlier one if their closed ranges overlap and their texts are related:
+    they have the first or last 20 characters in common, which a shorter text than that has with its
+    equals only, or one contains the other. So texts meet in groups, by either edge and by each text
+    that others contain, and a group is gone through once, from its last clip to its first. Clips
+    without a location stay.
+    """
+    whole, mark = stripped(F.col("text")), F.unhex(F.sha2(stripped(F.col("text")).cast("binary"), 256))
+    placed = clips.select("title", "seq", F.col("loc_start").alias("start"), F.coalesce("loc_end", "loc_start").alias("end"), whole.alias("t"), mark.alias("mark")).dropna(subset=["title", "seq", "start", "t"])
+    kept = ["title", "seq", "start", "end", "mark"]
+
+    def by(kind: str, key: Column, role: int) -> Column:
+        return F.struct(F.concat(F.lit(kind).cast("binary"), key.cast("binary")).alias("key"), F.lit(role).alias("role"))
+
+    groups = F.array(by("<", F.left("t", F.lit(20)), _ALL), by(">", F.right("t", F.lit(20)), _ALL), by("=", F.col("mark"), _NEEDLE))
+    members = placed.select(*kept, F.explode(groups).alias("of")).select(*kept, "of.*")
+    members = members.unionByName(_containing(placed).select(*kept, by("=", F.col("inner"), _TEXT).alias("of")).select(*kept, "of.*"))
+    dealt = members.repartition("title", "key").sortWithinPartitions("title", "key", F.desc("seq"))
+    gone = dealt.mapInArrow(_met_later, placed.select(*kept).schema)
+    gone = gone.toDF(*[f"__{c}" for c in kept])
+    same = (F.col("title") == F.col("__title")) & (F.col("seq") == F.col("__seq")) & (F.col("loc_start") == F.col("__start")) & (F.coalesce("loc_end", "loc_start") == F.col("__end")) & (mark == F.col("__mark"))
+    return clips.join(gone, same, "left_anti")
+
+
+def _containing(placed: DataFrame) -> DataFrame:
+    """Rows (title, seq, start, end, mark) of ``placed`` with ``inner``, the mark of a text that may stand inside theirs.
+
+    A title's texts are dealt over parts; each part meets all of the title's texts by their edges only.
     """
-    end = F.coalesce("loc_end", "loc_start")
-    placed = clips.where("loc_start is not null").select("title", "seq", "loc_start", end.alias("end"), stripped(F.col("text")).alias("t"))
-    cells = placed.withColumn("cell", F.explode(F.sequence(F.floor(F.least("loc_start", "end") / cell), F.floor(F.greatest("loc_start", "end") / cell))))
-    later = cells.select(F.col("title").alias("title2"), F.col("seq").alias("seq2"), F.col("loc_start").alias("start2"), F.col("end").alias("end2"), F.col("t").alias("t2"), F.col("cell").alias("cell2"))
-    meets = (F.col("title") == F.col("title2")) & (F.col("cell") == F.col("cell2")) & (F.col("seq2") > F.col("seq")) & (F.col("loc_start") <= F.col("end2")) & (F.col("start2") <= F.col("end")) & related(F.col("t"), F.col("t2"))
-    gone = cells.join(later, meets, "left_semi").select("title", "seq").distinct()
-    return clips.join(gone, ["title", "seq"], "left_anti").select(*clips.columns)
+    size = F.octet_length("t").cast("bigint")
+    texts = placed.select("*", F.xxhash64("title").alias("of")).withColumn("bucket", F.pmod("of", F.lit(_BUCKETS)).cast("int"))
+    parts = texts.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.sum(size) / PART))).cast("int").alias("parts"))
+    texts = texts.join(F.broadcast(parts), "bucket")
+    needles = texts.select("bucket", "parts", "of", size.alias("size"), F.substring(F.col("t").cast("binary"), 1, EDGE).alias("head"), F.substring(F.col("t").cast("binary"), -EDGE, EDGE).alias("tail")).distinct()
+    needles = needles.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    needles = needles.toDF(*needles.columns)
+    texts = texts.select("bucket", F.pmod(F.xxhash64("seq", "mark"), F.col("parts")).cast("int").alias("part"), "of", "title", "seq", "start", "end", "mark", F.col("t").cast("binary").alias("t"))
+    kept = ["title", "seq", "start", "end", "mark"]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = Needles(right["of"].to_numpy(), right["size"].to_numpy(), right["head"].to_pylist(), right["tail"].to_pylist())
+        found = list(known.inside(left["t"].to_pylist(), left["of"].to_numpy()))
+        return left.select(kept).take(pa.array([i for i, _ in found], pa.int64())).append_column("inner", pa.array([x for _, x in found], pa.binary()))
+
+    schema = StructType([*placed.select(*kept).schema, StructField("inner", BinaryType())])
+    return texts.groupBy("bucket", "part").cogroup(needles.groupBy("bucket", "part")).applyInArrow(search, schema)
+
+
+def _met_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by title and key, the last first, those whose range meets one of a later row that they are compared with."""
+    before = group = seq = None
+    later: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        titles, keys = batch["title"], batch["key"]
+        new = np.ones(len(keys) + 1, bool)
+        new[1:-1] = pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(titles[1:], titles[:-1])).to_numpy(zero_copy_only=False)
+        new[0] = before != (titles[0].as_py(), keys[0].as_py())
+        before = titles[-1].as_py(), keys[-1].as_py()
+        # the last row may go on in the next batch; another one alone in its group meets none
+        new[-1] = False
+        rows = np.flatnonzero(~(new[:-1] & new[1:]))
+        out = []
+        some = batch.select(["seq", "start", "end", "role"]).take(pa.array(rows))
+        for i, first, now, start, end, role in zip(rows.tolist(), new[rows].tolist(), *(c.to_pylist() for c in some.columns), strict=True):
+            if first:
+                group, seq, later = (Met(), Met(), Met()), None, []
+            if now != seq:
+                for at, *reach in later:
+                    group[at].add(*reach)
+                seq, later = now, []
+            if group[(_ALL, _TEXT, _NEEDLE)[role]].meets(start, end):
+                out.append(i)
+            later.append((role, start, end))
+        yield batch.select(["title", "seq", "start", "end", "mark"]).take(pa.array(out, pa.int64()))
 
 
 def without_known(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:

@@ -60,8 +60,11 @@ def without_superseded(clips: DataFrame) -> DataFrame:
 def _containing(placed: DataFrame) -> DataFrame:
     """Rows (title, seq, start, end, mark) of ``placed`` with ``inner``, the mark of a text that may stand inside theirs.
 
-    A title's texts are dealt over parts; each part meets all of the title's texts by their edges only.
+    A title's texts are dealt over parts; each part meets all of the title's texts by their edges only. Of equal
+    texts at the same place only the last is searched: it replaces the others, and whatever they would.
     """
+    apart = F.when(F.col("start") > F.col("end"), F.col("seq")).alias("apart")
+    placed = placed.groupBy("title", "start", "end", "mark", apart).agg(F.max("seq").alias("seq"), F.first("t").alias("t")).select(placed.columns)
     size = F.octet_length("t").cast("bigint")
     texts = placed.select("*", F.xxhash64("title").alias("of")).withColumn("bucket", F.pmod("of", F.lit(_BUCKETS)).cast("int"))
     parts = texts.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.sum(size) / PART))).cast("int").alias("parts"))
